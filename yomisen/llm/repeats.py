@@ -4,7 +4,8 @@ Every 200-byte window of a text is named by the least hash among the 64-byte
 strings in it, so equal windows have equal names wherever they start.  Windows
 in a row with the same name make a *block* (its bytes are those that the windows
 cover); each window lies in exactly one block and no other 200-byte string does.
-Blocks whose name occurs once hold nothing that repeats and go no further.
+Blocks whose name occurs once, and whose least 64-byte string does too, hold
+nothing that repeats and go no further.
 
 The distinct blocks of one name meet in one task.  There they become one text, whose Burrows-Wheeler transform is run-length compressed and
 keeps the suffix positions at both ends of each run.  The longest common prefix
@@ -20,7 +21,6 @@ counted by a 128-bit digest with an ordinary aggregation.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, joined_buffer, materialise, range_of, texts_of, with_text
+from .common import chunks, forget, joined_buffer, materialise, range_of, stored, texts_of, with_text
 
 LENGTH = 200
 ANCHOR = 64
@@ -76,13 +76,14 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def blocks_of(texts: list[bytes], anchor: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined texts, and of each block the text's number, place in the joined texts, windows and name."""
+def blocks_of(texts: list[bytes], anchor: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, and of each block the text's number, place in the joined texts, windows, name, and whether it may repeat within itself."""
     data, starts = joined_buffer(texts)
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return data, none, none, none, none.astype(np.uint64)
-    names = sliding_least(hashes_of_strings(data, anchor), LENGTH - anchor + 1)
+        return data, none, none, none, none.astype(np.uint64), none.astype(bool)
+    hashes = hashes_of_strings(data, anchor)
+    names = sliding_least(hashes, LENGTH - anchor + 1)
     n = len(names)
     inside = np.zeros(len(data) + 1, np.int32)  # windows that don't run over a text's end
     lengths = np.diff(starts)
@@ -102,7 +103,9 @@ def blocks_of(texts: list[bytes], anchor: int) -> tuple[bytes, np.ndarray, np.nd
         count = np.minimum(np.repeat(count, pieces) - shift, MOST_WINDOWS)
         at = np.repeat(at, pieces) + shift
     text = np.searchsorted(starts, at, side="right") - 1
-    return data, text, at, count, names[at]
+    # where a window begins with its least string and the next has the same name, that string occurs twice
+    left = np.append(0, np.cumsum(hashes[:n] == names))
+    return data, text, at, count, names[at], left[at + count - 1] > left[at]
 
 
 def text_key(doc_id: int | None, text: bytes) -> tuple[int, int]:
@@ -121,7 +124,7 @@ def _block_hashes(data: bytes, at: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.array([digest(data[a:b]) for a, b in zip(at.tolist(), ends, strict=True)], np.uint64)
 
 
-BLOCKS = "ka long, kb long, at int, windows int, name long, block long"
+BLOCKS = "ka long, kb long, at int, windows int, name long, block long, inner boolean"
 
 
 def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,13 +132,13 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             texts, ids = texts_of(part), part.column("doc_id").to_pylist()
-            data, text, at, count, name = blocks_of(texts, ANCHOR)
+            data, text, at, count, name, within = blocks_of(texts, ANCHOR)
             keys = np.array([text_key(i, t) for i, t in zip(ids, texts, strict=True)], np.int64).reshape(-1, 2)
             starts = joined_buffer(texts)[1]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[text, 0]), pa.array(keys[text, 1]), pa.array((at - starts[text]).astype(np.int32)),
-                    pa.array(count.astype(np.int32)), _signed(name), _signed(_block_hashes(data, at, count)),
+                    pa.array(count.astype(np.int32)), _signed(name), _signed(_block_hashes(data, at, count)), pa.array(within),
                 ],
                 names=names,
             )
@@ -343,17 +346,18 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows ``(doc_id, text, ka, kb)`` and their marks ``(ka, kb, first, last)``: runs of windows that also start elsewhere."""
+    """The rows ``(doc_id, text, ka, kb)`` and their marks ``(ka, kb, runs)``: runs ``(first, last)`` of windows that also start elsewhere."""
     some = with_text(docs, "doc_id")
     keyed = some.mapInArrow(_row_keys, some.select("doc_id", "text").schema.add("ka", "long").add("kb", "long"))
-    blocks = materialise(some.mapInArrow(_scan_blocks, BLOCKS))
-    names = blocks.groupBy("name").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
-    names = names.where("n > 1").select(F.negate("name").alias("less"), (F.col("low") != F.col("high")).alias("varied"))
+    blocks, path = stored(some.mapInArrow(_scan_blocks, BLOCKS))
+    names = blocks.groupBy("name").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"), F.bool_or("inner").alias("within"))
+    names = names.where("n > 1 OR within").select(F.negate("name").alias("less"), (F.col("within") | (F.col("low") != F.col("high"))).alias("varied"))
     # keys are computed anew on both sides of the joins, so that both are dealt out anew and hot ones can be split
-    shared = materialise(blocks.join(names, F.negate("name") == F.col("less")).drop("less"))
+    shared, _ = stored(blocks.join(names, F.negate("name") == F.col("less")).drop("less"))
+    forget(docs.sparkSession, path)
     one = F.min(F.struct("ka", "kb", "at", "windows")).alias("one")
     distinct = materialise(shared.groupBy("name", "block", "varied").agg(F.count("*").alias("n"), one))
-    whole = distinct.where("n > 1").select("name", "block", F.lit(0).alias("first"), (F.col("one.windows") - 1).alias("last"))
+    whole = distinct.where("n > 1").select("name", "block", F.array(F.struct(F.lit(0).alias("first"), (F.col("one.windows") - 1).alias("last"))).alias("runs"))
     wanted = distinct.where("varied")
     crowded = wanted.groupBy("name").agg((F.count("*") > CROWDED).alias("crowded")).select(F.negate("name").alias("less"), "crowded")
     wanted = wanted.join(crowded, F.negate("name") == F.col("less")).select(
@@ -368,10 +372,12 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = pieces.where("crowded").select("name", "block", "at", F.hex("bytes").alias("digest"))
     again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.lower("digest").alias("again"))
     single = windows.join(again, F.lower("digest") == F.col("again")).select("name", "block", F.col("at").alias("first"), F.col("at").alias("last"))
-    marks = whole.union(part).union(single)
-    marks = materialise(marks.select(F.struct("name", "block").alias("marked"), "first", "last"))
+    # the runs of a block in one row: as many as it has windows at most
+    part = part.union(single).groupBy("name", "block").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    marks = materialise(whole.union(part).select(F.struct("name", "block").alias("marked"), "runs"))
     found = shared.join(marks, F.struct("name", "block") == F.col("marked"))
-    return keyed, found.select("ka", "kb", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
+    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["first"]).alias("first"), (F.col("at") + r["last"]).alias("last")))
+    return keyed, found.select("ka", "kb", moved.alias("runs"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -383,8 +389,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     ``kept`` may begin or end within a character; other columns are ignored.
     """
     keyed, found = find_repeats(docs)
-    marks = found.groupBy(F.col("ka").alias("ma"), F.col("kb").alias("mb"), "first", "last").agg(F.lit(1).alias("x"))
-    marks = marks.groupBy("ma", "mb").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+    marks = found.groupBy(F.col("ka").alias("ma"), F.col("kb").alias("mb")).agg(F.flatten(F.collect_list("runs")).alias("marks"))
     rows = keyed.join(marks, (F.col("ka") == F.col("ma")) & (F.col("kb") == F.col("mb")), "left")
     return rows.select("doc_id", "text", "marks").mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
