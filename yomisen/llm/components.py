@@ -10,14 +10,16 @@ from .common import materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    out = both.join(least, "a").where(F.col("b") > F.col("a"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("key"), F.least("a", "m").alias("m"))
+    # the key is computed on both sides of a join, so that both are dealt out anew and a hub can be split
+    out = both.join(least, F.bitwise_not("a") == F.col("key")).where(F.col("b") > F.col("a"))
     return out.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    keyed = least.select(F.bitwise_not("a").alias("key"), "m")
+    moved = edges.join(keyed, F.bitwise_not("a") == F.col("key")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
