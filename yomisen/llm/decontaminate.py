@@ -40,18 +40,25 @@ _RADIX = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each token: a run of letters, digits and non-ASCII bytes, A-Z lower-cased."""
+def folded(data: bytes) -> np.ndarray:
+    """The bytes with A-Z and the capitals of U+00C0 to U+00DE lower-cased."""
     raw = _FOLD[np.frombuffer(data, np.uint8)]
+    capital = np.zeros(len(raw), np.uint8)
+    capital[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    return raw + capital * np.uint8(0x20)
+
+
+def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each token: a run of letters, digits and non-ASCII bytes, capitals folded."""
+    raw = folded(data)
     word = _WORD[raw]
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
         return np.zeros(0, np.uint64), first, end
-    # each byte is weighed by a power of the radix that falls towards the token's end, by its place in the token
-    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw)))) if first[0] == 0 else None
-    if place is None:
-        place = np.arange(len(raw)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(raw)]])))
+    # each byte is weighed by a power of the radix, by its place in the token
+    edges = np.concatenate([[0], first, [len(raw)]])
+    place = np.arange(len(raw)) - np.repeat(edges[:-1], np.diff(edges))
     power = np.ones(max(2, int((end - first).max()) + 1), np.uint64)
     power[1:] = _RADIX
     power = np.multiply.accumulate(power)
