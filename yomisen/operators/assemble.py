@@ -21,8 +21,8 @@ def tense_array(grammar: Grammar) -> Column:
     return F.array(*map(F.lit, names))
 
 
-def readings(candidates: DataFrame, entries: DataFrame, grammar: Grammar, texts: DataFrame) -> DataFrame:
-    """Adds ``reading`` to candidates ``(doc_id, start, len, src_len, flags, entry_id, chain, rank)``.
+def readings(candidates: DataFrame, entries: DataFrame, grammar: Grammar) -> DataFrame:
+    """Adds ``reading`` to candidates ``(doc_id, start, len, source, src_len, flags, entry_id, chain, rank)``.
 
     Null for what is itself a reading and for entries without kanji; plain words
     take the first reading; verbs the first reading that has the type's ending,
@@ -31,11 +31,11 @@ def readings(candidates: DataFrame, entries: DataFrame, grammar: Grammar, texts:
     """
     key = ["doc_id", "start", "len", "rank"]
     e = entries.select(F.col("id").alias("entry_id"), F.col("readings").alias("all_readings"))
-    c = candidates.join(e, "entry_id").join(texts.select("doc_id", "text"), "doc_id")
+    c = candidates.join(e, "entry_id")
     c = c.withColumns({
         "type0": F.get("chain", F.lit(0))["verb_type"], "conj0": F.get("chain", F.lit(0))["conj"],
-        "tail": F.substring(F.col("text"), F.col("start") + F.col("src_len") + 1, F.col("len") - F.col("src_len")),
-    }).drop("text")
+        "tail": F.substring(F.col("source"), F.col("src_len") + 1, F.col("len") - F.col("src_len")),
+    })
     verbs = c.where((F.size("chain") > 0) & ~fl.has_flag(F.col("flags"), fl.PRONOUNCE)).select(*key, "type0", "conj0", "tail", F.posexplode("all_readings").alias("r_ord", "r"))
     ends = grammar.removes()
     same = verbs.join(F.broadcast(ends), verbs["type0"] == ends["type_id"]).withColumn("stem", strip_suffix_unified(F.col("r"), F.col("remove_suffix")))
@@ -53,12 +53,12 @@ def readings(candidates: DataFrame, entries: DataFrame, grammar: Grammar, texts:
     return out.withColumn("reading", own.when(F.size("chain") == 0, F.get("all_readings", F.lit(0))).otherwise(F.col("verb_reading"))).select(*candidates.columns, "reading")
 
 
-def entries_of_spans(ranked: DataFrame, entries: DataFrame, grammar: Grammar, texts: DataFrame) -> DataFrame:
+def entries_of_spans(ranked: DataFrame, entries: DataFrame, grammar: Grammar) -> DataFrame:
     """One row per span and alternative: ``(doc_id, start, len, rank, headword, reading, conjugation, pos, senses, flags)``.
 
     Candidates whose entry is missing are dropped.
     """
-    read = readings(ranked, entries, grammar, texts)
+    read = readings(ranked, entries, grammar)
     first = F.get("chain", F.lit(0))["verb_type"]
     formed = read.withColumn("type0", first).join(F.broadcast(grammar.first_removes().withColumnRenamed("type_id", "type0")), "type0", "left")
     headword = F.when(first.isNull(), F.col("surface")).otherwise(F.concat("surface", F.coalesce("first_remove", F.lit(""))))

@@ -2,47 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags as fl
 from ..functions.kana import strict_eq, unify
 
 
+#: Positions of a piece of text.
+PIECE = 128
+
+
 def key_lengths(lexicon: DataFrame) -> list[int]:
     """The lengths that keys have: a few dozen numbers, whatever the lexicon's size."""
     return sorted(r[0] for r in lexicon.select("key_chars").distinct().collect())
 
 
-def probes(texts: DataFrame, lengths: list[int], ends: bool = False) -> DataFrame:
+def probes(texts: DataFrame, lengths: list[int], ahead: int = 0) -> DataFrame:
     """``(doc_id, start, len, source, key)``: every substring of ``texts(doc_id, text)`` with one of the lengths, start from 0.
 
-    ``ends`` keeps the place after the last character too, where only the empty key fits.
+    With ``ahead`` also ``behind``, up to that many characters that follow.
+    Reaching into a long text costs its length, so texts are first cut into
+    overlapping pieces and only those into substrings.
     """
+    most = max(lengths, default=0) + ahead
     n = F.length("text")
-    last = n if ends else n - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    at = texts.select("doc_id", "text", unify(F.col("text")).alias("u"), F.explode(starts).alias("start"))
-    each = at.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("len")).where(F.col("start") + F.col("len") <= F.length("text"))
-    return each.select("doc_id", "start", "len", _cut("text", "start", "len").alias("source"), _cut("u", "start", "len").alias("key"))
-
-
-def _cut(text: str, start: str, n: str) -> Column:
-    return F.substring(F.col(text), F.col(start) + 1, F.col(n))
-
-
-def prefix_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    bases = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    part = lambda c, b: F.substring(F.col(c), b + 1, F.lit(PIECE + most))
+    cut = F.transform(bases, lambda b: F.struct(b.alias("base"), part("text", b).alias("piece"), part("u", b).alias("folded")))
+    both = texts.select("doc_id", "text", unify(F.col("text")).alias("u"))
+    piece = both.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
+    offsets = F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(PIECE)) - 1)
+    at = piece.select("doc_id", "base", "piece", "folded", F.explode(offsets).alias("offset"))
+    each = at.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("len")).where(F.col("offset") + F.col("len") <= F.length("piece"))
+    source, key = (F.substring(F.col(c), F.col("offset") + 1, F.col("len")) for c in ("piece", "folded"))
+    more = [F.substring(F.col("piece"), F.col("offset") + F.col("len") + 1, F.lit(ahead)).alias("behind")] if ahead else []
+    return each.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "len", source.alias("source"), key.alias("key"), *more)
+
+
+def prefix_hits(texts: DataFrame, lexicon: DataFrame, ahead: int = 0) -> DataFrame:
     """Records whose key begins at each position: ``(doc_id, start, key_chars, surface, flags, verb_type, entry_id, ord, inexact)``.
 
     An equi-join on the key; Spark broadcasts the lexicon if it is small.  Empty keys fit everywhere.
     """
-    lengths = key_lengths(lexicon)
-    if not lengths:
-        lengths = [0]
-    keys = lexicon.withColumnRenamed("key_chars", "len")
-    found = probes(texts, lengths).join(keys, ["len", "key"])
+    found = probes(texts, key_lengths(lexicon) or [0], ahead).join(lexicon.withColumnRenamed("key_chars", "len"), ["len", "key"])
     inexact = ~strict_eq(F.col("source"), F.col("surface"))
-    return found.select("doc_id", "start", F.col("len").alias("key_chars"), "surface", "flags", "verb_type", "entry_id", "ord", inexact.alias("inexact"))
+    more = ["behind"] if ahead else []
+    return found.select("doc_id", "start", F.col("len").alias("key_chars"), "surface", "flags", "verb_type", "entry_id", "ord", inexact.alias("inexact"), *more)
 
 
 def lookup(texts: DataFrame, lexicon: DataFrame, types: DataFrame, entries: DataFrame) -> DataFrame:
@@ -63,18 +69,17 @@ def matches(texts: DataFrame, lexicon: DataFrame, paths: DataFrame) -> DataFrame
     Plain headwords as they are; stems with every conjugation path that
     continues in the text, one equi-join on type and the text behind.
     """
-    hits = prefix_hits(texts, lexicon).cache()
+    lengths = sorted(r[0] for r in paths.select("n_chars").distinct().collect())  # a few dozen
+    hits = prefix_hits(texts, lexicon, max(lengths, default=0) or 1)
     plain = hits.where("verb_type IS NULL").select(
         "doc_id", "start", F.col("key_chars").alias("len"), F.col("key_chars").alias("src_len"), "surface", "flags", "entry_id", "inexact",
         F.array().cast(EMPTY_CHAIN).alias("chain"), F.struct("key_chars", "ord", F.array().cast("array<int>").alias("path")).alias("ord"),
     )
-    lengths = sorted(r[0] for r in paths.select("n_chars").distinct().collect())
-    stem = hits.where("verb_type IS NOT NULL").join(texts.select("doc_id", "text"), "doc_id")
-    after = F.col("start") + F.col("key_chars")
-    ahead = stem.select("*", F.explode(F.array(*map(F.lit, lengths or [0]))).alias("n")).where(after + F.col("n") <= F.length("text"))
-    ahead = ahead.withColumn("slice", F.substring(F.col("text"), after + 1, F.col("n")))
+    stem = hits.where("verb_type IS NOT NULL")
+    reach = stem.select("*", F.explode(F.array(*map(F.lit, lengths or [0]))).alias("n")).where(F.col("n") <= F.length("behind"))
+    reach = reach.withColumn("slice", F.substring(F.col("behind"), F.lit(1), F.col("n")))
     p = paths.select(F.col("type_id").alias("verb_type"), F.col("suffix_key").alias("slice_key"), "suffix_raw", "chain", F.col("ord").alias("path"))
-    verbs = ahead.withColumn("slice_key", unify(F.col("slice"))).join(p, ["verb_type", "slice_key"])
+    verbs = reach.withColumn("slice_key", unify(F.col("slice"))).join(p, ["verb_type", "slice_key"])
     inexact = F.col("inexact") | ~strict_eq(F.col("slice"), F.col("suffix_raw"))
     verbs = verbs.select(
         "doc_id", "start", (F.col("key_chars") + F.col("n")).alias("len"), F.col("key_chars").alias("src_len"), "surface", "flags", "entry_id",

@@ -41,7 +41,7 @@ def parse(texts: DataFrame, dictionary: Dictionary, hints: DataFrame | None = No
     found = matching.matches(texts, dictionary.lexicon, dictionary.paths)
     scored = segment.scored(found, texts, hints)
     solved = segment.paths(texts, segment.edges_of(scored))
-    spans = segment.spans(solved, texts)
+    spans = segment.spans(solved)
     ranked = rank.ranked(rank.aligned(spans, scored))
-    alternatives = assemble.entries_of_spans(ranked, dictionary.entries, dictionary.grammar, texts)
+    alternatives = assemble.entries_of_spans(ranked, dictionary.entries, dictionary.grammar)
     return Parsed(scored, solved, spans, alternatives, assemble.segments(spans, alternatives))

@@ -10,8 +10,8 @@ from ..sources.grammar_json import NON_PAST
 
 
 def aligned(spans: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every match that lies exactly on a matched span; counters that follow no number lose that flag."""
-    on = spans.where("matched").select("doc_id", "start", "len").join(matches, ["doc_id", "start", "len"])
+    """Every match that lies exactly on a matched span, with its text as ``source``; counters that follow no number lose that flag."""
+    on = spans.where("matched").select("doc_id", "start", "len", F.col("surface").alias("source")).join(matches, ["doc_id", "start", "len"])
     stale = fl.has_flag(F.col("flags"), fl.COUNTER) & ~F.col("after_number")
     return on.withColumn("flags", F.when(stale, F.col("flags").bitwiseAND(F.lit(~fl.COUNTER))).otherwise(F.col("flags")))
 

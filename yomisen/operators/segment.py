@@ -107,17 +107,19 @@ def shortest(skips: list[int], edges: list[tuple[int, int, int]]) -> tuple[int,
     return total[n], path[::-1]
 
 
-PATHS = "doc_id long, total_cost long, spans array<struct<start:int,len:int,matched:boolean>>"
+PATHS = "doc_id long, total_cost long, spans array<struct<start:int,len:int,matched:boolean,surface:string>>"
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         costs, found = [], []
-        for skips, edges in zip(batch.column("skips").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+        for text, edges in zip(batch.column("text").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+            text = text or ""
+            skips = [SKIP_IDEOGRAPH if "\u4e00" <= c <= "\u9fbf" else SKIP_CHAR for c in text]
             cost, path = shortest(skips, [(e["end"], e["len"], e["cost"]) for e in edges or []])
             costs.append(cost)
-            found.append([{"start": a, "len": n, "matched": m} for a, n, m in path])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("matched", pa.bool_())]))
+            found.append([{"start": a, "len": n, "matched": m, "surface": text[a : a + n]} for a, n, m in path])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("matched", pa.bool_()), ("surface", pa.string())]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(costs, pa.int64()), pa.array(found, kind)], names=["doc_id", "total_cost", "spans"])
 
 
@@ -133,7 +135,7 @@ def paths(texts: DataFrame, edges: DataFrame) -> DataFrame:
     word.  The dynamic program runs in Arrow batches.
     """
     some = edges.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("len")).cast("int").alias("end"), F.col("len").cast("int").alias("len"), "cost")).alias("edges"))
-    return texts.select("doc_id", _skips(F.col("text")).alias("skips")).join(some, "doc_id", "left").mapInArrow(_solve, PATHS)
+    return texts.select("doc_id", "text").join(some, "doc_id", "left").mapInArrow(_solve, PATHS)
 
 
 def fold_costs(texts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,10 +147,9 @@ def fold_costs(texts: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.element_at(F.expr(fold), -1).alias("total_cost"))
 
 
-def spans(solved: DataFrame, texts: DataFrame) -> DataFrame:
+def spans(solved: DataFrame) -> DataFrame:
     """One row per span: ``(doc_id, start, len, matched, surface)``."""
-    each = solved.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").join(texts.select("doc_id", "text"), "doc_id")
-    return each.select("doc_id", "start", "len", "matched", F.substring(F.col("text"), F.col("start") + 1, F.col("len")).alias("surface"))
+    return solved.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
 def interior_hints(tokens: DataFrame, field: int = 7) -> DataFrame:

@@ -311,7 +311,8 @@ def conj_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("type_id", "suffix_raw", "suffix_key", "n_chars", _chain_text(F.col("chain")).alias("chain"), F.array_join("ord", ".").alias("ord"))
 
 
-D_STEMS = f"""tagged AS (SELECT h.*, t.type_id AS annotated, t.name AS annotated_name, u.pos_ord FROM heads h, unnest(h.pos, range(len(h.pos))) u(code, pos_ord) JOIN types t ON t.name = u.code),
+D_STEMS = f"""coded AS (SELECT h.*, unnest(h.pos) AS code, unnest(range(len(h.pos))) AS pos_ord FROM heads h),
+    tagged AS (SELECT h.*, t.type_id AS annotated, t.name AS annotated_name FROM coded h JOIN types t ON t.name = h.code),
     tried AS (SELECT g.seq, g.entry_id, g.form_ord, g.flags, g.pos_ord, g.annotated, e.type_id AS verb_type, e.conj, g.annotated_name <> e.name AS by_fallback,
         left(g.surface, length(g.surface) - length(e.ending)) AS stem
         FROM tagged g JOIN ends e ON (e.name = g.annotated_name OR (starts_with(e.name, 'v5') AND starts_with(g.annotated_name, 'v5') AND length(e.name) = length(g.annotated_name)))
@@ -372,7 +373,7 @@ def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 D_TEXTS = "texts AS (SELECT p_partkey AS doc_id, p_size || ' ' || p_name || p_size AS text FROM part)"
-D_HITS = f"""hits AS (SELECT t.doc_id, i::INTEGER AS start, l.key_chars::INTEGER AS len, l.surface, l.flags, l.entry_id, {d_fold('substr(t.text, i::INTEGER + 1, l.key_chars::INTEGER)')} <> {d_fold('l.surface')} AS inexact, t.text
+D_HITS = f"""hits AS MATERIALIZED (SELECT t.doc_id, i::INTEGER AS start, l.key_chars::INTEGER AS len, l.surface, l.flags, l.entry_id, {d_fold('substr(t.text, i::INTEGER + 1, l.key_chars::INTEGER)')} <> {d_fold('l.surface')} AS inexact, t.text
     FROM (SELECT doc_id, text, unnest(range(length(text))) AS i FROM texts) t JOIN lex l ON starts_with({d_unify('substr(t.text, i::INTEGER + 1)')}, l.key))"""
 
 
@@ -399,7 +400,7 @@ def _part_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 D_DIGIT = f"regexp_matches(substr(text, start + 1, 1), '{kana.DIGIT}')"
-D_COST = f"""scored AS (SELECT *, regexp_matches(substr(text, 1, start), '[0-9０-９一二三四五六七八九十百千万][ 　]*\\z') AS after_number,
+D_COST = f"""scored AS MATERIALIZED (SELECT *, regexp_matches(substr(text, 1, start), '[0-9０-９一二三四五六七八九十百千万][ 　]*\\z') AS after_number,
     10 + CASE WHEN flags & 16 <> 0 THEN -2 WHEN len = 1 THEN 1 WHEN start > 0 AND {D_DIGIT} AND regexp_matches(substr(text, start, 1), '{kana.DIGIT}') THEN 100 ELSE 0 END
     + CASE WHEN flags & 12 <> 0 THEN -3 ELSE 0 END + CASE WHEN flags & 32 <> 0 AND regexp_matches(substr(text, 1, start), '[0-9０-９一二三四五六七八九十百千万][ 　]*\\z') THEN -2 ELSE 0 END
     + CASE WHEN inexact THEN 10 ELSE 0 END AS cost FROM hits)"""
@@ -412,15 +413,15 @@ def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Least (cost, skip, length) at each position, one position a step for all texts at once.
-D_FOLD = """edges AS (SELECT doc_id, start + len AS dst, len, min(cost) AS cost FROM scored GROUP BY ALL),
-    ins AS (SELECT doc_id, dst, list({'cost': cost, 'len': len}) AS es FROM edges GROUP BY ALL),
+D_FOLD = """edges AS MATERIALIZED (SELECT doc_id, start + len AS dst, len, min(cost) AS cost FROM scored GROUP BY ALL),
+    ins AS MATERIALIZED (SELECT doc_id, dst, list({'cost': cost, 'len': len}) AS es FROM edges GROUP BY ALL),
     fold(doc_id, n, i, cells) AS (
         SELECT doc_id, length(text), 0::BIGINT, [{'cost': 0::BIGINT, 'skip': 0, 'len': 0::BIGINT}] FROM texts
       UNION ALL
         SELECT f.doc_id, f.n, f.i + 1, list_append(f.cells, list_min(list_concat([{'cost': f.cells[f.i + 1].cost + 100, 'skip': 1, 'len': 1::BIGINT}],
             list_transform(coalesce(x.es, []), lambda e: {'cost': f.cells[f.i + 2 - e.len].cost + e.cost, 'skip': 0, 'len': e.len::BIGINT}))))
         FROM fold f LEFT JOIN ins x ON x.doc_id = f.doc_id AND x.dst = f.i + 1 WHERE f.i < f.n),
-    done AS (SELECT * FROM fold WHERE i = n),
+    done AS MATERIALIZED (SELECT * FROM fold WHERE i = n),
     back(doc_id, pos, cells, start, len, skip) AS (
         SELECT doc_id, n, cells, n - cells[n + 1].len, cells[n + 1].len, cells[n + 1].skip FROM done WHERE n > 0
       UNION ALL
@@ -438,7 +439,7 @@ def _part_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     texts = _part_texts(spark, sf_dir)
     scored = segment.scored(_part_matches(spark, sf_dir), texts)
     solved = segment.paths(texts, segment.edges_of(scored))
-    return texts, scored, segment.spans(solved, texts)
+    return texts, scored, segment.spans(solved)
 
 
 D_SPANS = """steps AS (SELECT b.doc_id, b.start, b.len, b.skip, b.pos - row_number() OVER (PARTITION BY b.doc_id, b.skip ORDER BY b.start) AS island FROM back b),
@@ -512,8 +513,8 @@ D_LEXICON = f"""lex AS (SELECT {d_unify('surface')} AS key, length(surface) AS k
     UNION SELECT {d_unify('stem')}, length(stem), stem, flags, verb_type::INTEGER, entry_id FROM stems)"""
 D_SENTENCES = fx.values("texts", "doc_id, text", fx.SENTENCES)
 D_CHAIN = "array_to_string(list_transform(chain, lambda c: concat_ws('.', c.verb_type, c.tense, c.form, c.conj)), ' ')"
-D_MATCHES = f"""at AS (SELECT doc_id, text, unnest(range(length(text))) AS i FROM texts),
-    found AS (SELECT a.doc_id, a.text, a.i, l.*, {d_fold('substr(a.text, a.i::INTEGER + 1, l.key_chars::INTEGER)')} <> {d_fold('l.surface')} AS loose FROM at a JOIN lex l ON starts_with({d_unify('substr(a.text, a.i::INTEGER + 1)')}, l.key)),
+D_MATCHES = f"""places AS (SELECT doc_id, text, unnest(range(length(text))) AS i FROM texts),
+    found AS (SELECT a.doc_id, a.text, a.i, l.*, {d_fold('substr(a.text, a.i::INTEGER + 1, l.key_chars::INTEGER)')} <> {d_fold('l.surface')} AS loose FROM places a JOIN lex l ON starts_with({d_unify('substr(a.text, a.i::INTEGER + 1)')}, l.key)),
     every AS (SELECT doc_id, i AS start, key_chars AS len, key_chars AS src_len, surface, flags, entry_id, loose AS inexact, '' AS chain FROM found WHERE verb_type IS NULL
       UNION ALL SELECT f.doc_id, f.i, f.key_chars + p.n_chars, f.key_chars, f.surface, f.flags, f.entry_id,
         f.loose OR {d_fold('substr(f.text, (f.i + f.key_chars)::INTEGER + 1, p.n_chars::INTEGER)')} <> {d_fold('p.suffix_raw')}, {D_CHAIN}
