@@ -18,12 +18,20 @@ def key_lengths(lexicon: DataFrame) -> list[int]:
     return sorted(r[0] for r in lexicon.select("key_chars").distinct().collect())
 
 
-def probes(texts: DataFrame, lengths: list[int], ahead: int = 0) -> DataFrame:
+def key_prefixes(lexicon: DataFrame, lengths: list[int]) -> DataFrame:
+    """``(prefix, lens)``: which lengths keys with the same first one or two characters have; empty keys are left out."""
+    n = min([x for x in lengths if x][:1] + [2])
+    some = lexicon.where("key_chars > 0").groupBy(F.substring("key", 1, n).alias("prefix"))
+    return some.agg(F.collect_set("key_chars").alias("lens"))
+
+
+def probes(texts: DataFrame, lengths: list[int], ahead: int = 0, prefixes: DataFrame | None = None) -> DataFrame:
     """``(doc_id, start, len, source, key)``: every substring of ``texts(doc_id, text)`` with one of the lengths, start from 0.
 
-    With ``ahead`` also ``behind``, up to that many characters that follow.
-    Reaching into a long text costs its length, so texts are first cut into
-    overlapping pieces and only those into substrings.
+    With ``ahead`` also ``behind``, up to that many characters that follow; with
+    ``prefixes`` only lengths that keys with the same beginning have.  Reaching
+    into a long text costs its length, so texts are first cut into overlapping
+    pieces and only those into substrings.
     """
     most = max(lengths, default=0) + ahead
     n = F.length("text")
@@ -34,7 +42,13 @@ def probes(texts: DataFrame, lengths: list[int], ahead: int = 0) -> DataFrame:
     piece = both.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
     offsets = F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(PIECE)) - 1)
     at = piece.select("doc_id", "base", "piece", "folded", F.explode(offsets).alias("offset"))
-    each = at.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("len")).where(F.col("offset") + F.col("len") <= F.length("piece"))
+    lens = F.array(*map(F.lit, lengths))
+    if prefixes is not None:
+        size = min([x for x in lengths if x][:1] + [2])
+        at = at.withColumn("prefix", F.substring(F.col("folded"), F.col("offset") + 1, F.lit(size)))
+        at = at.join(prefixes, "prefix", "left" if 0 in lengths else "inner")
+        lens = F.concat(F.coalesce("lens", F.array().cast("array<int>")), F.array(F.lit(0))) if 0 in lengths else F.col("lens")
+    each = at.select("*", F.explode(lens).alias("len")).where(F.col("offset") + F.col("len") <= F.length("piece"))
     source, key = (F.substring(F.col(c), F.col("offset") + 1, F.col("len")) for c in ("piece", "folded"))
     more = [F.substring(F.col("piece"), F.col("offset") + F.col("len") + 1, F.lit(ahead)).alias("behind")] if ahead else []
     return each.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "len", source.alias("source"), key.alias("key"), *more)
@@ -45,7 +59,8 @@ def prefix_hits(texts: DataFrame, lexicon: DataFrame, ahead: int = 0) -> DataFra
 
     An equi-join on the key; Spark broadcasts the lexicon if it is small.  Empty keys fit everywhere.
     """
-    found = probes(texts, key_lengths(lexicon) or [0], ahead).join(lexicon.withColumnRenamed("key_chars", "len"), ["len", "key"])
+    lengths = key_lengths(lexicon) or [0]
+    found = probes(texts, lengths, ahead, key_prefixes(lexicon, lengths)).join(lexicon.withColumnRenamed("key_chars", "len"), ["len", "key"])
     inexact = ~strict_eq(F.col("source"), F.col("surface"))
     more = ["behind"] if ahead else []
     return found.select("doc_id", "start", F.col("len").alias("key_chars"), "surface", "flags", "verb_type", "entry_id", "ord", inexact.alias("inexact"), *more)

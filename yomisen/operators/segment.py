@@ -112,15 +112,27 @@ PATHS = "doc_id long, total_cost long, spans array<struct<start:int,len:int,matc
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        costs, found = [], []
-        for text, edges in zip(batch.column("text").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+        lists = batch.column("edges")
+        ends, lengths, added = (lists.values.field(c).to_pylist() for c in ("end", "len", "cost"))
+        offsets = lists.offsets.to_pylist()
+        costs, sizes, starts, lens, matched, surfaces = [], [0], [], [], [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
             text = text or ""
+            a, b = offsets[i], offsets[i + 1]
             skips = [SKIP_IDEOGRAPH if "\u4e00" <= c <= "\u9fbf" else SKIP_CHAR for c in text]
-            cost, path = shortest(skips, [(e["end"], e["len"], e["cost"]) for e in edges or []])
+            cost, path = shortest(skips, list(zip(ends[a:b], lengths[a:b], added[a:b], strict=True)))
             costs.append(cost)
-            found.append([{"start": a, "len": n, "matched": m, "surface": text[a : a + n]} for a, n, m in path])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("matched", pa.bool_()), ("surface", pa.string())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(costs, pa.int64()), pa.array(found, kind)], names=["doc_id", "total_cost", "spans"])
+            sizes.append(sizes[-1] + len(path))
+            for start, n, is_match in path:
+                starts.append(start)
+                lens.append(n)
+                matched.append(is_match)
+                surfaces.append(text[start : start + n])
+        span = pa.StructArray.from_arrays(
+            [pa.array(starts, pa.int32()), pa.array(lens, pa.int32()), pa.array(matched, pa.bool_()), pa.array(surfaces, pa.string())], ["start", "len", "matched", "surface"]
+        )
+        found = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), span)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(costs, pa.int64()), found], names=["doc_id", "total_cost", "spans"])
 
 
 def _skips(text: Column) -> Column:
@@ -135,7 +147,9 @@ def paths(texts: DataFrame, edges: DataFrame) -> DataFrame:
     word.  The dynamic program runs in Arrow batches.
     """
     some = edges.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("len")).cast("int").alias("end"), F.col("len").cast("int").alias("len"), "cost")).alias("edges"))
-    return texts.select("doc_id", "text").join(some, "doc_id", "left").mapInArrow(_solve, PATHS)
+    none = F.array().cast(some.schema["edges"].dataType)
+    joined = texts.select("doc_id", "text").join(some, "doc_id", "left")
+    return joined.withColumn("edges", F.coalesce("edges", none)).mapInArrow(_solve, PATHS)
 
 
 def fold_costs(texts: DataFrame, edges: DataFrame) -> DataFrame:

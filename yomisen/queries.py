@@ -270,14 +270,18 @@ D_GRAMMAR = (
 )
 
 
+def _session(spark: SparkSession) -> str:
+    return f"{spark.sparkContext.applicationId}/{spark._jsparkSession.hashCode()}"
+
+
 @lru_cache(1)
-def _grammar_of(session: int) -> gr.Grammar:
+def _grammar_of(session: str) -> gr.Grammar:
     spark = SparkSession.active()
     return gr.load(spark, grammar_json.default_grammar_json())
 
 
 def _grammar(spark: SparkSession) -> gr.Grammar:
-    return _grammar_of(id(spark._jsparkSession))
+    return _grammar_of(_session(spark))
 
 
 @query(f"WITH {D_GRAMMAR} SELECT * FROM grammar_edges")
@@ -505,8 +509,15 @@ def hints_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole analyses of the sentences --------------------------------------------------------------------------------
 
 
+@lru_cache(1)
+def _dictionary_of(session: str) -> parse.Dictionary:
+    spark = SparkSession.active()
+    d = parse.build(fx.raw_entries(spark), _grammar(spark))
+    return parse.Dictionary(d.lexicon.cache(), d.entries, d.grammar, d.paths.cache())
+
+
 def _dictionary(spark: SparkSession) -> parse.Dictionary:
-    return parse.build(fx.raw_entries(spark), _grammar(spark))
+    return _dictionary_of(_session(spark))
 
 
 D_LEXICON = f"""lex AS (SELECT {d_unify('surface')} AS key, length(surface) AS key_chars, surface, flags, NULL::INTEGER AS verb_type, entry_id FROM heads
@@ -617,8 +628,9 @@ def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("word")).cast("long")  # a few thousand words
     lex = words.select(kana.unify(F.col("word")).alias("key"), F.length("word").alias("key_chars"), "word", number.alias("entry_id")).cache()
     texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    probes = matching.probes(texts, matching.key_lengths(lex))
-    found = probes.join(F.broadcast(lex.drop("key_chars")), "key")
+    lengths = matching.key_lengths(lex)
+    probes = matching.probes(texts, lengths, prefixes=matching.key_prefixes(lex, lengths))
+    found = probes.join(lex.drop("key_chars"), "key")
     edges = found.groupBy("doc_id", "start", "len").agg(F.min(F.when(kana.strict_eq(F.col("source"), F.col("word")), segment.MATCH).otherwise(segment.MATCH + segment.INEXACT)).cast("long").alias("cost"))
     return segment.paths(texts, edges).select("doc_id", "total_cost", F.size("spans").alias("n_spans"), F.size(F.filter("spans", lambda s: s["matched"])).alias("n_matched"))
 
