@@ -32,6 +32,7 @@ class Parsed:
     matches: DataFrame
     solved: DataFrame
     spans: DataFrame
+    ranked: DataFrame
     alternatives: DataFrame
     segments: DataFrame
 
@@ -44,4 +45,4 @@ def parse(texts: DataFrame, dictionary: Dictionary, hints: DataFrame | None = No
     spans = segment.spans(solved)
     ranked = rank.ranked(rank.aligned(spans, scored))
     alternatives = assemble.entries_of_spans(ranked, dictionary.entries, dictionary.grammar)
-    return Parsed(scored, solved, spans, alternatives, assemble.segments(spans, alternatives))
+    return Parsed(scored, solved, spans, ranked, alternatives, assemble.segments(spans, alternatives))

@@ -419,11 +419,12 @@ def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Least (cost, skip, length) at each position, one position a step for all texts at once.
 D_FOLD = """edges AS MATERIALIZED (SELECT doc_id, start + len AS dst, len, min(cost) AS cost FROM scored GROUP BY ALL),
     ins AS MATERIALIZED (SELECT doc_id, dst, list({'cost': cost, 'len': len}) AS es FROM edges GROUP BY ALL),
-    fold(doc_id, n, i, cells) AS (
-        SELECT doc_id, length(text), 0::BIGINT, [{'cost': 0::BIGINT, 'skip': 0, 'len': 0::BIGINT}] FROM texts
+    fold(doc_id, n, i, cells, t) AS (
+        SELECT doc_id, length(text), 0::BIGINT, [{'cost': 0::BIGINT, 'skip': 0, 'len': 0::BIGINT}], text FROM texts
       UNION ALL
-        SELECT f.doc_id, f.n, f.i + 1, list_append(f.cells, list_min(list_concat([{'cost': f.cells[f.i + 1].cost + 100, 'skip': 1, 'len': 1::BIGINT}],
-            list_transform(coalesce(x.es, []), lambda e: {'cost': f.cells[f.i + 2 - e.len].cost + e.cost, 'skip': 0, 'len': e.len::BIGINT}))))
+        SELECT f.doc_id, f.n, f.i + 1, list_append(f.cells, list_min(list_concat([{'cost': f.cells[f.i + 1].cost
+            + CASE WHEN regexp_matches(substr(f.t, f.i + 1, 1), '[\\x{4E00}-\\x{9FBF}]') THEN 500 ELSE 100 END, 'skip': 1, 'len': 1::BIGINT}],
+            list_transform(coalesce(x.es, []), lambda e: {'cost': f.cells[f.i + 2 - e.len].cost + e.cost, 'skip': 0, 'len': e.len::BIGINT})))), f.t
         FROM fold f LEFT JOIN ins x ON x.doc_id = f.doc_id AND x.dst = f.i + 1 WHERE f.i < f.n),
     done AS MATERIALIZED (SELECT * FROM fold WHERE i = n),
     back(doc_id, pos, cells, start, len, skip) AS (
@@ -543,6 +544,49 @@ def sentence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "len", "src_len", "surface", "flags", "entry_id", "inexact", _chain_text(F.col("chain")).alias("chain"))
 
 
+D_ANALYSIS = f"""{D_HEADS}, {D_GRAMMAR}, {D_STEMS}, {D_LEXICON}, paths AS MATERIALIZED ({gr.closure_sql(False)}), {D_SENTENCES}, {D_MATCHES},
+    hits AS MATERIALIZED (SELECT e.doc_id, t.text, e.start, e.len, e.src_len, e.surface, e.flags, e.entry_id, e.chain, bool_and(e.inexact) AS inexact
+        FROM every e JOIN texts t USING (doc_id) WHERE e.len > 0 GROUP BY ALL),
+    {D_COST}, {D_FOLD}, {D_SPANS}"""
+
+
+@query(
+    f"""WITH RECURSIVE {D_ANALYSIS} SELECT p.doc_id::BIGINT AS doc_id, p.start::INTEGER AS start, p.len::INTEGER AS len, p.matched,
+        substr(t.text, p.start::INTEGER + 1, p.len::INTEGER) AS surface, (d.cells[d.n + 1].cost)::BIGINT AS total_cost
+    FROM path_spans p JOIN texts t USING (doc_id) JOIN done d USING (doc_id)"""
+)
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parsed(spark)
+    return p.spans.join(p.solved.select("doc_id", "total_cost"), "doc_id").select("doc_id", "start", "len", "matched", "surface", "total_cost")
+
+
+_D_NAMED = fx.duck([*grammar_json.TENSES, *_OTHER_TENSES])
+
+
+@query(
+    f"""WITH RECURSIVE {D_ANALYSIS},
+    on_path AS (SELECT s.*, CASE WHEN s.flags & 32 <> 0 AND NOT s.after_number THEN s.flags & ~32 ELSE s.flags END AS shown,
+        try_cast(nullif(split_part(split_part(s.chain, ' ', 1), '.', 1), '') AS INTEGER) AS type0, split_part(split_part(s.chain, ' ', 1), '.', 2) AS tense0,
+        split_part(split_part(s.chain, ' ', 1), '.', 3) AS form0
+        FROM scored s JOIN path_spans p ON p.doc_id = s.doc_id AND p.start = s.start AND p.len = s.len AND p.matched),
+    counted AS (SELECT *, count(*) FILTER (chain <> '') OVER w AS n_verbs, count(*) FILTER (chain = '') OVER w AS n_plain, min(inexact) OVER w AS loose
+        FROM on_path WINDOW w AS (PARTITION BY doc_id, start, len, entry_id)),
+    first_ends AS (SELECT type_id, arg_min(ending, conj) AS ending FROM ends GROUP BY type_id)
+    SELECT c.doc_id::BIGINT AS doc_id, c.start::INTEGER AS start, c.len::INTEGER AS len, c.entry_id, c.shown AS flags, c.loose AS inexact, c.surface || coalesce(f.ending, '') AS headword,
+        nullif(array_to_string(list_filter(list_transform(string_split(c.chain, ' '), lambda l, i: concat_ws(' ',
+            CASE WHEN try_cast(split_part(l, '.', 3) AS INTEGER) & 2 <> 0 THEN 'Negative' END, CASE WHEN try_cast(split_part(l, '.', 3) AS INTEGER) & 1 <> 0 THEN 'Formal' END,
+            CASE WHEN split_part(l, '.', 2) <> '2' AND NOT (i > 1 AND split_part(l, '.', 2) = '1' AND (i > 2 OR c.tense0 <> '2'))
+                THEN ({_D_NAMED})[try_cast(split_part(l, '.', 2) AS INTEGER) + 1] END)), lambda w: w <> ''), ' '), '') AS conjugation
+    FROM counted c LEFT JOIN first_ends f ON f.type_id = c.type0
+    WHERE NOT (c.chain <> '' AND c.tense0 = '1' AND c.form0 = '0' AND c.n_verbs = 1 AND c.n_plain > 0)"""
+)
+def sentence_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parsed(spark)
+    ranks = p.ranked.select("doc_id", "start", "len", "rank", F.col("flags").alias("bits"), "inexact")
+    out = p.alternatives.join(ranks, ["doc_id", "start", "len", "rank"])
+    return out.select("doc_id", "start", "len", "entry_id", F.col("bits").alias("flags"), "inexact", "headword", "conjugation")
+
+
 @query(
     "WITH RECURSIVE " + D_GRAMMAR + ", paths AS (" + gr.closure_sql(False) + ")" + """,
     words AS (SELECT type_id, ord, unnest(chain) AS l, unnest(range(len(chain))) AS i, chain[1].tense AS t0 FROM paths),
