@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, joined_buffer, range_of, texts_of, unused
+from .common import chunks, joined_buffer, range_of, texts_of
 
 #: Fixed places looked at; the first takes unbroken runs, the others let one token in two or three differ.
 MASKS = ("11111111", "1101100011011", "110010111010011", "10110111001101")
@@ -178,6 +178,24 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
+def _found(bench: Benchmark, texts: list[bytes]) -> Iterator[tuple]:
+    """Verified overlaps of some texts: number of the text, item, first byte, end byte, equal tokens, tokens, tokens of the item."""
+    data, starts = joined_buffer([x + b" " for x in texts])
+    tokens, first, end = token_hashes(data)
+    items, diagonals = bench.hits(tokens)
+    if not len(items):
+        return
+    edges = np.searchsorted(first, starts)
+    length = np.array([len(x) for x in bench.tokens])
+    # a diagonal may lie over the edge of a document: hold it against each that it touches
+    low = np.searchsorted(edges, np.maximum(diagonals, 0), side="right") - 1
+    high = np.minimum(np.searchsorted(edges, diagonals + length[items], side="left"), len(texts))
+    times = np.maximum(high - low, 0)
+    for d, k, x in zip(range_of(low, times).tolist(), np.repeat(items, times).tolist(), np.repeat(diagonals, times).tolist(), strict=True):
+        for item, a, b, n, total in bench.overlaps(tokens, edges[d], edges[d + 1], np.array([k]), np.array([x])):
+            yield d, item, int(first[a] - starts[d]), int(end[b - 1] - starts[d]), n, b - a, total
+
+
 def _overlaps_with(some: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
     shared = some.sparkSession.sparkContext.broadcast(rows)
 
@@ -187,27 +205,9 @@ def _overlaps_with(some: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
         kinds = [*[pa.int64()] * 5, *[pa.int32()] * 3]
         for batch in batches:
             for part in chunks(batch):
-                data, starts = joined_buffer([x + b" " for x in texts_of(part)])
-                tokens, first, end = token_hashes(data)
-                items, diagonals = bench.hits(tokens)
-                if not len(items):
-                    continue
-                edges = np.searchsorted(first, starts)
                 ids, row = part.column("doc_id").to_pylist(), part.column("row").to_pylist()
-                out = []
-                length = np.array([len(x) for x in bench.tokens])
-                # a diagonal may lie over the edge of a document: hold it against each that it touches
-                low = np.searchsorted(edges, np.maximum(diagonals, 0), side="right") - 1
-                high = np.searchsorted(edges, diagonals + length[items], side="left")
-                which = range_of(low, high - low)
-                for d, k, x in zip(which.tolist(), np.repeat(items, high - low).tolist(), np.repeat(diagonals, high - low).tolist(), strict=True):
-                    if d >= len(ids):
-                        continue
-                    for item, a, b, n, total in bench.overlaps(tokens, edges[d], edges[d + 1], np.array([k]), np.array([x])):
-                        out.append((ids[d], row[d], item, int(first[a] - starts[d]), int(end[b - 1] - starts[d]), n, b - a, total))
-                if out:
-                    columns = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+                if out := [(ids[d], row[d], *x) for d, *x in _found(bench, texts_of(part))]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return some.mapInArrow(find, OVERLAPS)
 
@@ -226,8 +226,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap an item, with their columns."""
-    id_, row_ = unused(docs, "id"), unused(docs, "row")
-    goes = overlaps(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("row").alias(row_)).distinct()
-    here = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(goes, docs["doc_id"].eqNullSafe(F.col(id_)) & (here == F.col(row_)), "left_anti")
+    """``docs`` without the documents that overlap an item, with their columns; a filter where they lie, without a shuffle."""
+    for rows in _slices(benchmark):
+        docs = _without(docs, rows)
+    return docs
+
+
+def _without(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(shared.value)
+        for batch in batches:
+            for part in chunks(batch):
+                clean = np.ones(part.num_rows, bool)
+                clean[[x[0] for x in _found(bench, texts_of(part))]] = False
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
