@@ -150,14 +150,23 @@ def select(lines: list[tuple[str, int, bool, tuple[int, ...]]], kinds: dict[int,
         for c in chain:
             weight[c] = weight.get(c, 0.0) + n
     total = length[a:b].sum()
-    # an article or main element that holds most of the region, else the innermost container that holds nearly all
-    marked = [c for c, w in weight.items() if kinds[c] in CONTENT and w >= 0.5 * total]
-    holding = [c for c, w in weight.items() if w >= 0.9 * total and kinds[c] not in ("p", "li", "td")]
-    root = min(marked) if marked else max(holding, default=0)
-    if marked and not [c for c in marked if kinds[c] == "article"]:
-        articles = [c for c, k in kinds.items() if k == "article" and c in weight]
-        if not articles:
-            root = max(marked)
+    # an article (or else a main) element that holds most of the region; else the innermost container that holds nearly all
+    for tag in ("article", "main"):
+        marked = [c for c, w in weight.items() if kinds[c] == tag and w >= 0.5 * total]
+        if marked:
+            root = min(marked)  # the outermost
+            break
+    else:
+        root = max((c for c, w in weight.items() if w >= 0.9 * total and kinds[c] not in ("p", "li", "td")), default=0)
+        # unless an article elsewhere has a good part of the page
+        held: dict[int, float] = {}
+        for (_, _, _, chain), n in zip(clean, length, strict=True):
+            for c in chain:
+                if kinds[c] == "article":
+                    held[c] = held.get(c, 0.0) + n
+        best = max(held, key=held.__getitem__, default=0)
+        if best and held[best] >= 0.3 * length.sum():
+            root = best
     return [x[0] for x in clean if not root or root in x[3]]
 
 
