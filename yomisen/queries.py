@@ -14,6 +14,7 @@ from .functions import flags as fl
 from .functions import kana, romaji
 from .operators import assemble, lexicon, matching, parse, rank, segment
 from .plans import grammar as gr
+from .plans.spread import spread
 from .sources import dictionary_xml, generations, grammar_json
 from .streaming import texts as streams
 
@@ -65,7 +66,7 @@ D_PSEUDO = f"translate(text, '{PSEUDO_FROM}', '{PSEUDO_TO}')"
 @query(f"SELECT doc_id, md5({d_unify('text')}) AS unified, md5({d_unify(D_PSEUDO)}) AS unified_kana FROM documents")
 def unify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(kana.unify(text)).alias("unified"), F.md5(kana.unify(_pseudo(text))).alias("unified_kana"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(kana.unify(text)).alias("unified"), F.md5(kana.unify(_pseudo(text))).alias("unified_kana"))
 
 
 @query(
@@ -82,7 +83,7 @@ _D_CLASSES = ", ".join(f"len(regexp_extract_all(t, '{c}'))::BIGINT AS {n}" for n
 @query(f"SELECT doc_id, {_D_CLASSES} FROM (SELECT doc_id, {D_PSEUDO} AS t FROM documents)")
 def char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _pseudo(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", *(F.regexp_count(text, F.lit(c)).cast("long").alias(n) for n, c in _CLASSES.items()))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(F.regexp_count(text, F.lit(c)).cast("long").alias(n) for n, c in _CLASSES.items()))
 
 
 _CHARS = [(i, c) for i, c in enumerate("あんゖ゛アヶ・ーｱﾛﾞ々一龿九3３百千万億aZ！ 　é")]
@@ -671,7 +672,7 @@ def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("length(word) > 1").distinct()
     number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("word")).cast("long")  # a few thousand words
     lex = words.select(kana.unify(F.col("word")).alias("key"), F.length("word").alias("key_chars"), "word", number.alias("entry_id")).cache()
-    texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     lengths = matching.key_lengths(lex)
     probes = matching.probes(texts, lengths, prefixes=matching.key_prefixes(lex, lengths))
     found = probes.join(lex.drop("key_chars"), "key")
