@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.spread import spread
 from . import decontaminate, exact_dedup, html_text, packing, quality, repeats, secrets, simhash, toxicity, url_filter
 
 
@@ -13,32 +14,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Whole columns of a table, for operators whose work is done where rows lie."""
+    return spread(_table(spark, sf_dir, name).select(*columns))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats_report(_table(spark, sf_dir, "documents"))
+    return repeats.repeats_report(_texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_texts(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(_texts(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.quality(_texts(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packing.packed(_texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(_table(spark, sf_dir, "pages"))
+    return html_text.extract(_texts(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
