@@ -42,6 +42,10 @@ class DigestIndex:
             )
         self.buckets = buckets
 
+    def drop(self) -> None:
+        """Gives up the table; results of earlier calls don't need it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def digests(self) -> DataFrame:
         return self.spark.table(self.table)
 

@@ -52,7 +52,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
+    index = exact_dedup.new_index(spark)
+    out = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), index)
+    index.drop()  # of this query alone
+    return out
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
