@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..plans.grammar import Grammar, closure
+from ..plans.store import stored
 from . import assemble, lexicon, matching, rank, segment
 
 
@@ -38,11 +39,15 @@ class Parsed:
 
 
 def parse(texts: DataFrame, dictionary: Dictionary, hints: DataFrame | None = None) -> Parsed:
-    """``texts(doc_id, text)`` to segments; each step is a DataFrame of its own."""
+    """``texts(doc_id, text)`` to segments; each step is a DataFrame of its own.
+
+    Matches, paths and ranked candidates are read by several later steps, so each
+    is computed once and stored.
+    """
     found = matching.matches(texts, dictionary.lexicon, dictionary.paths)
-    scored = segment.scored(found, texts, hints)
-    solved = segment.paths(texts, segment.edges_of(scored))
+    scored = stored(segment.scored(found, texts, hints))
+    solved = stored(segment.paths(texts, segment.edges_of(scored)))
     spans = segment.spans(solved)
-    ranked = rank.ranked(rank.aligned(spans, scored))
+    ranked = stored(rank.ranked(rank.aligned(spans, scored)))
     alternatives = assemble.entries_of_spans(ranked, dictionary.entries, dictionary.grammar)
     return Parsed(scored, solved, spans, ranked, alternatives, assemble.segments(spans, alternatives))

@@ -15,6 +15,7 @@ from .functions import kana, romaji
 from .operators import assemble, lexicon, matching, parse, rank, segment
 from .plans import grammar as gr
 from .plans.spread import spread
+from .plans.store import stored
 from .sources import corpus, dictionary_xml, generations, grammar_json
 from .streaming import texts as streams
 
@@ -524,7 +525,7 @@ def hints_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dictionary_of(session: str) -> parse.Dictionary:
     spark = SparkSession.active()
     d = parse.build(fx.raw_entries(spark), _grammar(spark))
-    return parse.Dictionary(d.lexicon.cache(), d.entries, d.grammar, d.paths.cache())
+    return parse.Dictionary(stored(d.lexicon), d.entries, d.grammar, stored(d.paths))
 
 
 def _dictionary(spark: SparkSession) -> parse.Dictionary:
