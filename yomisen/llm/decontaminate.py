@@ -107,10 +107,13 @@ class Benchmark:
         self.items, self.places = np.concatenate(items or empty), np.concatenate(places or empty)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.items, self.places = self.hashes[order], self.items[order], self.places[order]
-        self.short = {}
-        for k, tokens in enumerate(self.tokens):
-            if 0 < len(tokens) < len(MASKS[0]):
-                self.short.setdefault(len(tokens), []).append(k)
+        # items of fewer tokens than a seed, by length: the hash of the whole item, sorted, and the item
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, len(MASKS[0])):
+            if short := [k for k, tokens in enumerate(self.tokens) if len(tokens) == n]:
+                h = np.concatenate([seeds(self.tokens[k], "1" * n) for k in short])
+                order = np.argsort(h, kind="stable")
+                self.short[n] = h[order], np.array(short)[order]
         # a table of one bit for each hash's low 22 bits turns most windows away
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -126,13 +129,11 @@ class Benchmark:
             entry = range_of(low, high - low)
             items.append(self.items[entry])
             diagonals.append(np.repeat(maybe, high - low) - self.places[entry])
-        for n, short in self.short.items():
-            for k in short:
-                ok = np.ones(max(0, len(tokens) - n + 1), bool)
-                for i in range(n):
-                    ok &= tokens[i : i + len(ok)] == self.tokens[k][i]
-                at = np.flatnonzero(ok)
-                items.append(np.full(len(at), k)), diagonals.append(at)
+        for n, (hashes, short) in self.short.items():
+            h = seeds(tokens, "1" * n)
+            low, high = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
+            items.append(short[range_of(low, high - low)])
+            diagonals.append(np.repeat(np.arange(len(h)), high - low))
         both = np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)], 1), axis=0)
         return both[:, 0], both[:, 1]
 
