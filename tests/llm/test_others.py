@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -117,6 +118,29 @@ def test_overlaps_bound_the_passage(spark, bench_rows):
     assert text.encode()[r["first_byte"] : r["end_byte"]].decode() == bench_rows[2][1]
 
 
+def shortest_overlaps():
+    """Length and substituted places of each stretch of under 30 tokens that counts and has no shorter one in it that does."""
+    counts = lambda n, bad: n - bad >= decontaminate.LEAST_TOKENS and n - bad >= decontaminate.LEAST_SHARE * n
+    for n in range(decontaminate.LEAST_TOKENS, 30):
+        for k in (k for k in range(n) if counts(n, k)):
+            for places in combinations(range(1, n - 1), k):
+                bad = np.cumsum([0, *(i in places for i in range(n))])
+                if not any(counts(b - a, bad[b] - bad[a]) for m in range(decontaminate.LEAST_TOKENS, n) for a in range(n - m + 1) for b in (a + m,)):
+                    yield n, places
+
+
+def test_every_overlap_that_counts_is_hit_by_a_seed():
+    lost, n_seen = [], 0
+    for n, places in shortest_overlaps():
+        n_seen += 1
+        equal = [i not in places for i in range(n)]
+        windows = ((mask, at) for mask in decontaminate.MASKS for at in range(n - len(mask) + 1))
+        if not any(all(equal[at + i] for i, bit in enumerate(mask) if bit == "1") for mask, at in windows):
+            lost.append((n, places))
+    assert n_seen == 875 and not lost
+    assert len(decontaminate.MASKS[0]) == min(map(len, decontaminate.MASKS))
+
+
 def test_slices_of_the_benchmark_give_the_same(spark, bench_rows, monkeypatch):
     bench = spark.createDataFrame(bench_rows, "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x {t} y") for i, t in bench_rows if t], "doc_id long, text string")
