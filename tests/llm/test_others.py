@@ -141,6 +141,25 @@ def test_every_overlap_that_counts_is_hit_by_a_seed():
     assert len(decontaminate.MASKS[0]) == min(map(len, decontaminate.MASKS))
 
 
+def test_a_quote_counts_whatever_surrounds_it():
+    rng = random.Random(7)
+    for quoted, length in ((20, 150), (13, 100), (20, 200)):
+        for _ in range(20):
+            item = text_of(rng, length).split()
+            text = item[:quoted] + [w if rng.random() < 0.75 else "other" for w in item[quoted:]]
+            found = list(decontaminate._found(decontaminate.Benchmark([(1, " ".join(item).encode())]), [" ".join(text).encode()]))
+            assert found and all(n >= 12 and n >= 0.8 * total for *_, n, total, _ in found)
+
+
+def test_the_widest_stretch_is_the_one_of_brute_force():
+    rng = np.random.default_rng(2)
+    for n in range(0, 40):
+        equal = rng.random(n) < 0.7
+        x, y = decontaminate.widest_stretch(equal)
+        best = max((int(equal[a:b].sum()) for a in range(n) for b in range(a + 1, n + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)), default=0)
+        assert int(equal[x:y].sum()) == best and 5 * best >= 4 * (y - x)
+
+
 def test_slices_of_the_benchmark_give_the_same(spark, bench_rows, monkeypatch):
     bench = spark.createDataFrame(bench_rows, "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x {t} y") for i, t in bench_rows if t], "doc_id long, text string")

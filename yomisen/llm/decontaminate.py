@@ -3,8 +3,9 @@
 A seed looks at fixed places of a window of tokens and ignores the others, so a
 substituted token spoils only the seeds that look at it.  Training windows whose
 hash under some mask is a benchmark window's are hits; around each hit the two
-token sequences are laid side by side, and the stretch that scores best
-(substituted tokens allowed) decides.
+token sequences are laid side by side, and any stretch that is long and equal
+enough (substituted tokens allowed) decides: the one that scores best if it is,
+else the widest that is.
 
 The benchmark is read in slices of a bounded size, each of which goes to the
 executors once; documents are read where they lie, without a shuffle, whatever
@@ -92,6 +93,17 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def widest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the stretch with most equal tokens of those that are equal for ``LEAST_SHARE``, its ends being equal tokens."""
+    share = round(LEAST_SHARE * 100)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 100 - share, -share))])  # not less at the end than at the start: enough are equal
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, side="left")  # the first place with no larger total
+    count = np.concatenate([[0], np.cumsum(equal)])
+    end = int(np.argmax(count - count[start]))
+    inside = np.flatnonzero(equal[start[end] : end]) + start[end]
+    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
+
+
 class Benchmark:
     """Seeds of benchmark items, sorted by hash."""
 
@@ -146,10 +158,12 @@ class Benchmark:
             if a >= b:
                 continue
             equal = tokens[a:b] == item[a - diagonal : b - diagonal]
-            x, y = best_stretch(equal)
-            n = int(equal[x:y].sum())
-            if n >= min(LEAST_TOKENS, len(item)) and n >= LEAST_SHARE * (y - x):
-                yield self.ids[k], a + x, a + y, n, len(item)
+            for stretch in (best_stretch, widest_stretch):
+                x, y = stretch(equal)
+                n = int(equal[x:y].sum())
+                if n >= min(LEAST_TOKENS, len(item)) and n >= LEAST_SHARE * (y - x):
+                    yield self.ids[k], a + x, a + y, n, len(item)
+                    break
 
 
 OVERLAPS = "doc_id long, row long, item_id long, first_byte long, end_byte long, n_equal int, n_tokens int, item_tokens int"
