@@ -317,6 +317,32 @@ def test_the_lexer_follows_assignments(text, found):
     assert [text[a:b] for a, b in secrets.lexed(text)] == found
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'config["password"] = "#"', "$cfg['token'] = '#'", 'os.environ["DB_PASSWORD"] = "#"', 'char password[] = "#";', 'password = ("#")', 'password = getenv("X", "#")',
+        'password = os.getenv("DB_PASSWORD", "#")', 'password: str = "#"', 'const apiKey: string = "#";', 'client_secret = b = "#"', 'b = client_secret = "#"', 'var token string = "#"',
+        'password: Optional[str] = "#"', 'password =\n    "#"', 'password = (\n    "#"\n)', '{"password":\n  "#"}', 'a["b"]["password"] = "#"', 'db = connect(host="h1h2h3h4h5", password="#")',
+        'tokens = ["#"]', 'password = get(\n  "X",\n  "#",\n)', 'var token []byte = []byte("#")',
+    ],
+)
+def test_the_lexer_knows_common_source_forms(text):
+    value = "Xy9Qw8Er7Ty6"
+    text = text.replace("#", value)
+    assert [text[a:b] for a, b in secrets.lexed(text)] == [value]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'token = cfg["Xy9Qw8Er7Ty6"]', 'config["color"] = "Xy9Qw8Er7Ty6"', 'password = os.getenv("DB_PASSWORD")', 'password:\n  color: "Xy9Qw8Er7Ty6"', 'password =\nXy9Qw8Er7Ty6',
+        'password = connect(color="Xy9Qw8Er7Ty6")', 'token: (see\n\n"Xy9Qw8Er7Ty6"', 'password = input()\nx = "Xy9Qw8Er7Ty6"', 'password = a\n"Xy9Qw8Er7Ty6"',
+    ],
+)
+def test_the_lexer_leaves_other_literals_alone(text):
+    assert secrets.lexed(text) == []
+
+
 # --- URLs -----------------------------------------------------------------------------------------------------------------
 
 URLS = [

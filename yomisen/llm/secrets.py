@@ -2,7 +2,8 @@
 
 The lexer reads source and configuration syntax (``name = "literal"``, ``name:
 literal``, ``"name": "literal"``, ``export NAME=literal``, ``:=``, ``=>``, sums of
-literals and names) into pairs of a name and the literals it gets.  Constants are
+literals and names, subscripts, types, brackets and calls around values, values
+on the next line) into pairs of a name and the literals it gets.  Constants are
 propagated: a name that takes its value from another name hands its sensitivity
 back to that name's literals.  A literal is reported if its target's name, or one
 that gets it, is sensitive and the literal doesn't look like a placeholder.
@@ -52,6 +53,8 @@ SENSITIVE = {
 }
 HARMLESS = {"file", "path", "name", "url", "uri", "length", "size", "type", "id", "public", "policy", "expires", "count", "field", "header"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%\(.*\)s|your.*|change.?me.*|example.*|none|null|true|false|todo|dummy|placeholder|test)$")
+#: Types that may stand between a name and what it gets.
+TYPES = frozenset("string str byte bytes rune char".split())
 LEAST_SCORE = 4.0
 MAY_ASSIGN = re.compile(r"[=:]")
 
@@ -85,42 +88,158 @@ def literal_score(name_score: int, value: str) -> float:
     return name_score + min(entropy(value), 4) / 2 + (mixed >= 2) * 0.5
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """``(name, literals with their places, names of other values)`` of each assignment, line by line."""
-    at = 0
-    for line in text.split("\n"):
-        if MAY_ASSIGN.search(line):
-            yield from _line_pairs(line, at)
-        at += len(line) + 1
-
-
-def _line_pairs(line: str, at: int) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    target, literals, names, last, state = "", [], [], "", "name"
-    for m in _TOKEN.finditer(line):
-        kind, value = m.lastgroup, m.group()
-        if kind == "op" and last and state != "value":
-            target, literals, names, state = last, [], [], "value"
-        elif kind == "op" and state == "value" and names and not literals:
-            target, names = names[-1], []  # a = b = "literal", or key: key2: literal
-        elif state == "value" and kind == "string":
-            literals.append((value[1:-1], at + m.start() + 1, at + m.end() - 1))
-        elif state == "value" and kind in ("name", "bare"):
-            # an unquoted value with digits in it is a literal, else a name
-            if re.search(r"\d", value) and len(value) >= 8:
-                literals.append((value, at + m.start(), at + m.end()))
+Pair = tuple[str, list[tuple[str, int, int]], list[str]]
+
+
+class _Place:
+    """What has been read of one statement, or of one argument in brackets that belong to a value."""
+
+    def __init__(self, kind: str = "line") -> None:
+        self.kind = kind  # "line"; "group": brackets around values; "subscript": brackets right after a value's name
+        self.clear()
+
+    def clear(self) -> None:
+        self.targets: list[str] = []  # the names that get the value, once an operator was read
+        self.op = ""
+        self.last: list[str] = []  # the names that a following operator would assign to
+        self.end = -1  # where they end
+        self.literals: list[tuple[str, int, int]] = []
+        self.names: list[str] = []
+
+    def pairs(self) -> Iterator[Pair]:
+        for target in self.targets:
+            yield target, self.literals, self.names
+
+
+class _Reader:
+    """Reads assignments line by line; brackets of a value and values that begin on the next line are carried on."""
+
+    def __init__(self) -> None:
+        self.places = [_Place()]
+        self.goes_on = False  # the line ended in an operator or a plus
+        self.key: list[str] | None = None  # within a target's subscript: what it holds
+
+    @property
+    def open(self) -> bool:
+        return self.goes_on or bool(self.places[0].targets)
+
+    def _shut(self) -> Iterator[Pair]:
+        """Ends the innermost argument; one that assigns nothing is part of the value around it."""
+        place = self.places[-1]
+        if len(self.places) > 1 and not place.targets and place.kind == "group":
+            self.places[-2].literals += [x for x in place.literals if not _is_a_key(x[0])]
+            self.places[-2].names += place.names
+        yield from place.pairs()
+        place.clear()
+
+    def close(self) -> Iterator[Pair]:
+        """Ends everything that is open."""
+        while len(self.places) > 1:
+            yield from self._shut()
+            self.places.pop()
+        yield from self._shut()
+        self.goes_on, self.key = False, None
+
+    def line(self, line: str, at: int) -> Iterator[Pair]:
+        first, carried = True, self.open
+        for place in self.places:
+            place.end = -1  # of this line
+        if carried and not line.strip():
+            yield from self.close()
+        for m in _TOKEN.finditer(line):
+            kind, value, place = m.lastgroup, m.group(), self.places[-1]
+            if first and carried and len(self.places) == 1 and kind != "plus" and not (self.goes_on and (kind == "string" or value == "(")):
+                yield from self.close()
+            first, self.goes_on = False, False
+            if self.key is not None and value != "]":
+                if kind in ("string", "name"):
+                    self.key = [value[1:-1]] if kind == "string" else [*place.last, value]
+                elif kind == "end":
+                    self.key = None
+                    yield from self.close()
+            elif kind == "op":
+                self._operator(value)
+            elif kind == "plus":
+                self.goes_on = bool(place.targets or len(self.places) > 1)
+            elif kind == "end":
+                yield from self._bracket(value, m.start(), line)
+            else:
+                self._value(kind, value, m, line, at, carried)
+        place = self.places[-1]
+        self.goes_on = self.goes_on or bool(place.targets and not place.literals and not place.names and place.kind == "line")
+        if len(self.places) == 1 and not place.targets:
+            yield from self.close()
+
+    def _operator(self, op: str) -> None:
+        place = self.places[-1]
+        if place.kind == "subscript" or not place.last:
+            return
+        if not place.targets:
+            place.targets, place.literals, place.names = place.last, [], []
+        elif place.names and not place.literals:
+            if op == ":":
+                place.targets = place.last  # key: key2: literal
+            elif place.op != ":":
+                place.targets = [*place.targets, *place.last]  # a = b = "literal"
+            place.names = []  # else name: type = "literal"
+        else:
+            return
+        place.op, place.last = op, []
+        self.goes_on = True
+
+    def _bracket(self, value: str, start: int, line: str) -> Iterator[Pair]:
+        place = self.places[-1]
+        valued = place.targets or len(self.places) > 1
+        touches = place.end == start
+        if value == "[" and not valued and place.last and (touches or line[start + 1 : start + 2] == "]"):
+            self.key = []
+        elif value == "]" and self.key is not None:
+            place.last, self.key = self.key or place.last, None
+            place.end = start + 1
+        elif value in "([" and valued:
+            self.places.append(_Place("subscript" if value == "[" and touches else "group"))
+        elif value in ")]" and len(self.places) > 1:
+            yield from self._shut()
+            self.places.pop()
+            self.places[-1].end = start + 1
+        elif value == "," and len(self.places) > 1:
+            yield from self._shut()
+        else:
+            yield from self.close()
+
+    def _value(self, kind: str, value: str, m: re.Match, line: str, at: int, carried: bool) -> None:
+        place = self.places[-1]
+        if place.targets or len(self.places) > 1:
+            if kind == "string":
+                place.literals.append((value[1:-1], at + m.start() + 1, at + m.end() - 1))
+            elif re.search(r"\d", value) and len(value) >= 8:
+                # an unquoted value with digits in it is a literal, else a name
+                if not carried:
+                    place.literals.append((value, at + m.start(), at + m.end()))
             else:
-                names.append(value)
-        elif kind == "end":
-            if state == "value":
-                yield target, literals, names
-            target, literals, names, last, state = "", [], [], "", "name"
-            continue
+                place.names.append(value)
         if kind == "name":
-            last = value
+            typed = value in TYPES and place.last and not place.targets and not line[place.end : m.start()].strip(" \t*&[]")
+            if not typed:  # name type = "literal"
+                place.last = [value]
         elif kind == "string":
-            last = value[1:-1] if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$.\-]*", value[1:-1]) else ""
-    if state == "value":
-        yield target, literals, names
+            place.last = [value[1:-1]] if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$.\-]*", value[1:-1]) else []
+        place.end = m.end()
+
+
+def _is_a_key(value: str) -> bool:
+    """A call's argument that names a secret and isn't one, as in ``getenv("DB_PASSWORD")``."""
+    return bool(re.fullmatch(r"[A-Za-z_.\-]+", value)) and sensitivity(value) > 0
+
+
+def pairs(text: str) -> Iterator[Pair]:
+    """``(name, literals with their places, names of other values)`` of each assignment."""
+    at, reader = 0, _Reader()
+    for line in text.split("\n"):
+        if reader.open or MAY_ASSIGN.search(line):
+            yield from reader.line(line, at)
+        at += len(line) + 1
+    yield from reader.close()
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
