@@ -406,6 +406,17 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>T</title><body><p>text</p></body></html>", "<head><title>T</title><meta charset='utf-8'><style>p{}</style><p>text", "<head><title>T</title>text",
+        "<head><script>var x</script><link rel='a'><h1>text</h1></body>",
+    ],
+)
+def test_a_head_without_its_end_tag_hides_nothing(html):
+    assert html_text.main_text(html) == "text"
+
+
 def test_main_text_without_an_article():
     body = "".join(f"<p>{'word ' * 60}{i}</p>" for i in range(4))
     links = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(9))

@@ -37,6 +37,8 @@ BOILERPLATE_WORDS = frozenset(
     " copyright legal disclaimer".split()
 )
 CONTENT = frozenset("article main".split())
+#: What may lie in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements that an opening tag of the same kind ends.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 1.5
@@ -82,6 +84,8 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if self.stack and self.stack[-1][0] == "head" and tag not in HEAD and tag not in ("head", "html"):
+            self.stack.pop()  # its end tag was left out
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCKS:
@@ -116,6 +120,8 @@ class _Lines(HTMLParser):
         del self.stack[open_at:]
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.stack.pop()
         if not (self.stack and self.stack[-1][3]):
             self.parts.append(data)
 
