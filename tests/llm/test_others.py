@@ -417,6 +417,19 @@ def test_a_head_without_its_end_tag_hides_nothing(html):
     assert html_text.main_text(html) == "text"
 
 
+def test_a_name_alone_does_not_hide_the_article():
+    body = "".join(f"<p>{'word ' * 60}{i}</p>" for i in range(4))
+    small = "<div class='sidebar'><p>Side</p></div><div id='comments'><p>Nice!</p></div>"
+    want = [f"{'word ' * 60}{i}" for i in range(4)]
+    for html in (
+        f"<body><div class='layout with-sidebar'><article>{body}</article>{small}</div></body>", f"<body><div id='page' class='no-comments'>{body}</div>{small}</body>",
+        f"<body><article><section id='discussion'>{body}</section></article>{small}</body>", f"<body>{small}<div class='social'><main><div class='promo'>Buy</div>{body}</main></div></body>",
+    ):
+        assert html_text.main_text(html).split("\n") == want
+    assert html_text.main_text("<div class='sidebar'><p>a</p></div><div id='comments'><p>b</p></div>") == "a\nb"
+    assert html_text.main_text("<div class='sidebar'><p hidden>a</p></div><nav>b</nav>") == ""
+
+
 def test_main_text_without_an_article():
     body = "".join(f"<p>{'word ' * 60}{i}</p>" for i in range(4))
     links = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(9))

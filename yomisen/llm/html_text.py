@@ -5,7 +5,9 @@ lines; each line knows its characters, its tags and the containers it lies in.
 The lines' text-to-tag ratios are smoothed with a Gaussian, lines above a threshold
 cluster into regions, and the region with most text selects the container it
 lies in: the article.  All lines of that container are the text, short ones too,
-but for those in boilerplate containers.
+but for those in boilerplate containers.  A container is boilerplate for good by its
+element, role or visibility; by a word of its class or id only as long as neither
+the article nor most of the page's densest region lies in it.
 """
 
 from __future__ import annotations
@@ -42,11 +44,13 @@ HEAD = frozenset("base basefont bgsound link meta noframes noscript script style
 #: Elements that an opening tag of the same kind ends.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 1.5
+#: Part of the page's text that makes an article element the page's article, and of the densest region that outweighs a container's name.
+ARTICLE_SHARE, NAMED_SHARE = 0.3, 0.8
 _WORD = re.compile(r"[A-Za-z]+")
 
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """By element, role, visibility, or a whole part of its class or id."""
+    """By element, role or visibility."""
     if tag in BOILERPLATE:
         return True
     if tag in ("body", "html", *CONTENT):
@@ -57,19 +61,25 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if key == "role" and value in BOILERPLATE_ROLES:
             return True
-        if key in ("class", "id") and any(w in BOILERPLATE_WORDS for w in _WORD.findall(value)):
-            return True
     return False
 
 
+def is_named_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """By a whole part of its class or id."""
+    if tag in ("body", "html", *CONTENT):
+        return False
+    return any(key in ("class", "id") and any(w in BOILERPLATE_WORDS for w in _WORD.findall((value or "").lower())) for key, value in attrs)
+
+
 class _Lines(HTMLParser):
-    """Collects lines as (text, tags, boilerplate or not, chain of open containers)."""
+    """Collects lines as (text, tags, boilerplate for good or not, chain of open containers)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int, int]] = []  # name, number, boilerplate depth, unseen depth
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.kinds: dict[int, str] = {}
+        self.named: set[int] = set()  # containers that a word of their class or id calls boilerplate
         self.parts: list[str] = []
         self.tags = 0
         self.number = 0
@@ -92,7 +102,8 @@ class _Lines(HTMLParser):
             self._end_line()
         if tag in VOID:
             return
-        if tag not in BLOCKS and tag not in UNSEEN and tag not in BOILERPLATE and not is_boilerplate(tag, attrs):
+        hidden, named = is_boilerplate(tag, attrs), is_named_boilerplate(tag, attrs)
+        if tag not in BLOCKS and tag not in UNSEEN and not hidden and not named:
             return  # inline: opens no container
         if tag not in BLOCKS:
             self.parts.append(" ") if tag in UNSEEN else self._end_line()
@@ -103,7 +114,9 @@ class _Lines(HTMLParser):
         top = self.stack[-1] if self.stack else ("", 0, 0, 0)
         self.number += 1
         self.kinds[self.number] = tag
-        self.stack.append((tag, self.number, top[2] + is_boilerplate(tag, attrs), top[3] + (tag in UNSEEN)))
+        if named:
+            self.named.add(self.number)
+        self.stack.append((tag, self.number, top[2] + hidden, top[3] + (tag in UNSEEN)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -139,22 +152,53 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def select(lines: list[tuple[str, int, bool, tuple[int, ...]]], kinds: dict[int, str]) -> list[str]:
-    """The lines of the container that the densest region lies in, without boilerplate."""
-    clean = [x for x in lines if not x[2]]
-    if not clean:
-        return []
-    length = np.array([len(x[0]) for x in clean], np.float64)
-    ratio = smoothed(length / (np.array([x[1] for x in clean]) + 1))
+Line = tuple[str, int, bool, tuple[int, ...]]
+
+
+def _weights(lines: list[Line], length: np.ndarray) -> dict[int, float]:
+    """How much text lies in each container."""
+    weight: dict[int, float] = {}
+    for (_, _, _, chain), n in zip(lines, length, strict=True):
+        for c in chain:
+            weight[c] = weight.get(c, 0.0) + n
+    return weight
+
+
+def _densest(lines: list[Line], length: np.ndarray) -> tuple[int, int]:
+    """Where the region with most text begins and ends."""
+    ratio = smoothed(length / (np.array([x[1] for x in lines]) + 1))
     inside = ratio >= min(ratio.std(), ratio.max())
     # clusters of neighbouring lines above the threshold; the one with most text
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     regions = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-    a, b = max(regions, key=lambda r: length[r[0] : r[1]].sum())
-    weight: dict[int, float] = {}
-    for (_, _, _, chain), n in zip(clean[a:b], length[a:b], strict=True):
-        for c in chain:
-            weight[c] = weight.get(c, 0.0) + n
+    return max(regions, key=lambda r: length[r[0] : r[1]].sum())
+
+
+def _left_out(lines: list[Line], kinds: dict[int, str], named: set[int]) -> set[int]:
+    """The containers of ``named`` in which neither the article nor most of the densest region lies."""
+    if not named:
+        return named
+    length = np.array([len(x[0]) for x in lines], np.float64)
+    a, b = _densest(lines, length)
+    weight, dense = _weights(lines, length), _weights(lines[a:b], length[a:b])
+    kept = {c for c in named if dense.get(c, 0.0) >= NAMED_SHARE * length[a:b].sum()}
+    articles = {c for c, w in weight.items() if kinds[c] in CONTENT and w >= ARTICLE_SHARE * length.sum()}
+    for _, _, _, chain in lines:
+        around = next((i for i in range(len(chain) - 1, -1, -1) if chain[i] in articles), 0)
+        kept |= named.intersection(chain[:around])
+    return named - kept
+
+
+def select(lines: list[Line], kinds: dict[int, str], named: set[int] = frozenset()) -> list[str]:
+    """The lines of the container that the densest region lies in, without boilerplate."""
+    seen = [x for x in lines if not x[2]]
+    if not seen:
+        return []
+    out = _left_out(seen, kinds, named)
+    clean = [x for x in seen if out.isdisjoint(x[3])] or seen
+    length = np.array([len(x[0]) for x in clean], np.float64)
+    a, b = _densest(clean, length)
+    weight = _weights(clean[a:b], length[a:b])
     total = length[a:b].sum()
     # an article (or else a main) element that holds most of the region; else the innermost container that holds nearly all
     for tag in ("article", "main"):
@@ -171,7 +215,7 @@ def select(lines: list[tuple[str, int, bool, tuple[int, ...]]], kinds: dict[int,
                 if kinds[c] == "article":
                     held[c] = held.get(c, 0.0) + n
         best = max(held, key=held.__getitem__, default=0)
-        if best and held[best] >= 0.3 * length.sum():
+        if best and held[best] >= ARTICLE_SHARE * length.sum():
             root = best
     return [x[0] for x in clean if not root or root in x[3]]
 
@@ -182,7 +226,7 @@ def main_text(html: str | None) -> str:
         return ""
     parser = _Lines()
     parser.feed(html)
-    return "\n".join(select(parser.finish(), parser.kinds))
+    return "\n".join(select(parser.finish(), parser.kinds, parser.named))
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
