@@ -184,6 +184,20 @@ def test_token_hashes_follow_the_tokens():
     assert tokens("") == tokens("?! ") == []
 
 
+def test_tokens_are_of_letters_and_digits_in_any_script():
+    def tokens(text):
+        data = text.encode()
+        return [data[a:b].decode() for a, b in zip(*decontaminate.token_hashes(data)[1:], strict=True)]
+
+    assert tokens("a\u2014b \u201cÉté\u201d\u00a0x2 naïve…\u2028Öl") == ["a", "b", "Été", "x2", "naïve", "Öl"]
+    assert tokens("漢字とカナ、abc語x。\U00020000é") == [*"漢字とカナ", "abc", "語", "x", "\U00020000", "é"]
+    assert tokens("Ж्д слово\U0001f600ы") == ["Ж्д", "слово", "ы"]
+    item = "吾輩は猫である。名前はまだ無い。どこで生れたか"
+    bench = decontaminate.Benchmark([(1, item.encode()), (2, "one two—three “four” five six seven eight nine ten eleven twelve".encode())])
+    texts = [f"前文{item.replace('。', '、')}続き", 'x one two-three "four" five six seven eight nine ten eleven twelve y', "別の文章である"]
+    assert [x[:2] for x in decontaminate._found(bench, [t.encode() for t in texts])] == [(0, 1), (1, 2)]
+
+
 # --- classifiers --------------------------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ passage is common.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,6 +39,13 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+#: Scripts written without spaces: each character is a token.
+_SINGLE = ((0x0E01, 0x0E5A), (0x0E81, 0x0EE0), (0x1000, 0x10A0), (0x1780, 0x17DE), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x323B0))
+#: Of each code point: 0 between words, 1 in a word, 2 a word of its own.
+_KIND = np.zeros(0x110000, np.uint8)
+_KIND[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LMN"]] = 1
+for _a, _b in _SINGLE:
+    _KIND[_a:_b] = np.where(_KIND[_a:_b] > 0, 2, 0)
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -50,12 +58,38 @@ def folded(data: bytes) -> np.ndarray:
     return raw + capital * np.uint8(0x20)
 
 
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 lie in words, and which begin a word that the byte before doesn't end."""
+    word = _WORD[raw]
+    single = np.zeros(len(raw), bool)
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return word, single
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32)
+    first = padded[lead]
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for i in range(1, 4):
+        code = np.where(size > i, code << 6 | padded[lead + i] & 0x3F, code)
+    kind = _KIND[np.minimum(code, 0x10FFFF)]
+    gap = kind == 0
+    for i in range(4):
+        some = lead[gap & (size > i)] + i
+        word[some[some < len(raw)]] = False
+    alone = kind == 2
+    single[lead[alone]] = True
+    after = lead[alone] + size[alone]
+    single[after[after < len(raw)]] = True
+    return word, single
+
+
 def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each token: a run of letters, digits and non-ASCII bytes, capitals folded."""
+    """Hash, first byte and end of each token: a run of letters, marks and digits, capitals folded; an ideograph, kana or the like alone."""
     raw = folded(data)
-    word = _WORD[raw]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    word, single = _words(raw)
+    before, after = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
+    first = np.flatnonzero(word & (~before | single))
+    end = np.flatnonzero(word & (~after | np.concatenate([single[1:], [False]]))) + 1
     if not len(first):
         return np.zeros(0, np.uint64), first, end
     # each byte is weighed by a power of the radix, by its place in the token
