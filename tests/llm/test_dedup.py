@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -113,10 +114,33 @@ def plain_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("crowded", [512, 2])
-def test_repeats(docs, rows, crowded, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWDED", crowded)
-    assert Counter(map(tuple, repeats.repeats_report(docs).collect())) == Counter(plain_repeats(rows))
+@pytest.mark.parametrize("index_bytes", [repeats.INDEX_BYTES, 300])
+def test_repeats(docs, rows, index_bytes):
+    assert Counter(map(tuple, repeats.repeats_report(docs, index_bytes).collect())) == Counter(plain_repeats(rows))
+
+
+def test_repeats_of_a_passage_in_many_texts(spark):
+    """Its edges, and strings too short to count, fill their names; every anchor is used."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, short = letters(260), letters(196)
+    rows = [(i, letters(rng.randint(150, 400)) + passage + letters(rng.randint(150, 400))) for i in range(40)]
+    rows += [(100 + i, letters(250) + short + rng.choice("xy") + letters(250)) for i in range(40)]
+    rows += [(200 + i, letters(100) + "=" * rng.randint(201, 260) + letters(100)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, repeats.repeats_report(docs, 2000).collect())) == Counter(plain_repeats(rows))
+
+
+def test_repeats_of_many_equal_rows(spark):
+    """Equal rows share their marks, so that what is gathered of a text doesn't grow with its copies."""
+    rng = random.Random(9)
+    text = " ".join(str(rng.random()) for _ in range(60))
+    docs = spark.createDataFrame([(7, text)] * 1000 + [(8, "q" + text), (9, "other")], "doc_id long, text string")
+    keyed, marks = repeats.find_repeats(docs)
+    assert marks.count() == 2
+    assert sum(len(r["marks"]) for r in marks.collect()) < 4 * len(text)
+    got = Counter((r["doc_id"], r["n_bytes"] - r["n_removed"]) for r in repeats.repeats_report(docs).collect())
+    assert got == {(7, 0): 1000, (8, 1): 1, (9, 5): 1}
 
 
 def test_repeats_of_nothing(no_docs):

@@ -7,16 +7,21 @@ cover); each window lies in exactly one block and no other 200-byte string does.
 Blocks whose name occurs once, and whose least 64-byte string does too, hold
 nothing that repeats and go no further.
 
-The distinct blocks of one name meet in one task.  There they become one text, whose Burrows-Wheeler transform is run-length compressed and
-keeps the suffix positions at both ends of each run.  The longest common prefix
+The distinct blocks of one name meet in one task.  There they become one text,
+whose Burrows-Wheeler transform is run-length compressed and keeps the suffix
+positions at both ends of each run.  The longest common prefix
 with the neighbour in suffix order falls by exactly one from a text position to
 the next unless a run begins (or ends) there, so these samples give the matching
 statistics of the whole text in one pass: every position streams down from the
 sampled position before it.  Windows whose statistic reaches 200 occur elsewhere.
-A block that occurs whole more than once is kept once, with its count.  A name
-with very many distinct blocks (the edges of a passage in very many texts) would
-overfill its task; its blocks are cut into single windows instead, which are
-counted by a 128-bit digest with an ordinary aggregation.
+A block that occurs whole more than once is kept once, with its count.
+
+A name may have more distinct blocks than one index takes (the edges of a passage
+that very many texts share).  They are divided by the least hash among the longer
+strings in each window, the next of ``ANCHORS``; what a longer anchor still leaves
+too full is divided by the one after it, down to whole windows, of which all of
+one name are equal.  Most of a block falls away at each step (only windows that
+hold the whole common string stay together), so rows stay in proportion to blocks.
 """
 
 from __future__ import annotations
@@ -26,19 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, forget, joined_buffer, materialise, range_of, stored, texts_of, with_text
 
 LENGTH = 200
-ANCHOR = 64
-#: Distinct blocks of a name beyond which they are cut into windows.
-CROWDED = 512
+#: Lengths of the strings that name a window: the first for all windows, the others for names whose blocks overfill an index.
+ANCHORS = (64, 166, 192, LENGTH)
 #: Windows in a block at most; a longer run is cut, which loses nothing.
 MOST_WINDOWS = 2048
-#: Bytes of distinct blocks in one index.
-INDEX_BYTES = 1 << 20
+#: Bytes of distinct blocks of one name in one index.
+INDEX_BYTES = 1 << 18
+#: Bytes of distinct blocks of several names that are indexed together.
+TOGETHER_BYTES = 1 << 20
 #: No UTF-8 text has this byte.
 SEPARATOR = 0xFF
 
@@ -132,7 +138,7 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             texts, ids = texts_of(part), part.column("doc_id").to_pylist()
-            data, text, at, count, name, within = blocks_of(texts, ANCHOR)
+            data, text, at, count, name, within = blocks_of(texts, ANCHORS[0])
             keys = np.array([text_key(i, t) for i, t in zip(ids, texts, strict=True)], np.int64).reshape(-1, 2)
             starts = joined_buffer(texts)[1]
             yield pa.RecordBatch.from_arrays(
@@ -144,29 +150,51 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-PIECES = "name long, block long, at int, crowded boolean, bytes binary"
+PIECES = "name long, block long, full boolean, bytes binary"
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted blocks of each text; of a crowded name's, the digest of each window and its place ``at``."""
+    """The bytes of the wanted blocks of each text."""
     names = [x.split()[0] for x in PIECES.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-    digest = xxhash.xxh3_128_digest
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
     out: list[tuple] = []
     for batch in batches:
-        texts = texts_of(batch)
-        for text, wanted in zip(texts, batch.column("wanted"), strict=True):
+        for text, wanted in zip(texts_of(batch), batch.column("wanted"), strict=True):
             for x in wanted.as_py():
-                a, n = x["at"], x["windows"]
-                if x["crowded"]:
-                    out += [(x["name"], x["block"], i, True, digest(text[a + i : a + i + LENGTH])) for i in range(n)]
-                else:
-                    out.append((x["name"], x["block"], 0, False, text[a : a + n + LENGTH - 1]))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out = []
+                out.append((x["name"], x["block"], x["full"], text[x["at"] : x["at"] + x["windows"] + LENGTH - 1]))
+                if len(out) == 10_000:
+                    yield made(out)
+                    out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        yield made(out)
+
+
+PARTS = "outer_name long, outer_block long, at int, windows int, name long, block long, inner boolean, bytes binary"
+
+
+def _divide(anchor: int):
+    """A function from blocks to the blocks that a longer anchor divides them into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        for batch in batches:
+            for part in chunks(batch, "bytes", 1 << 20):
+                texts = texts_of(part, "bytes")
+                data, text, at, count, name, inner = blocks_of(texts, anchor)
+                # of the last anchor all windows of a block are equal: one stands for it
+                block = _block_hashes(data, at, np.ones_like(count) if anchor == LENGTH else count)
+                cut = [data[a:b] for a, b in zip(at.tolist(), (at + count + LENGTH - 1).tolist(), strict=True)]
+                outer = [pa.array(part.column(x).to_numpy()[text]) for x in ("name", "block")]
+                place = pa.array((at - joined_buffer(texts)[1][text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*outer, place, pa.array(count.astype(np.int32)), _signed(name), _signed(block), pa.array(inner), pa.array(cut, pa.binary())], names=names
+                )
+
+    return run
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +326,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = None
     for batch in batches:
         for name, block, data in zip(*(batch.column(x).to_pylist() for x in ("name", "block", "bytes")), strict=True):
-            if name != before and size > INDEX_BYTES:
+            if name != before and size > TOGETHER_BYTES:
                 yield found()
                 held, size = {}, 0
             before = name
@@ -345,42 +373,94 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows ``(doc_id, text, ka, kb)`` and their marks ``(ka, kb, runs)``: runs ``(first, last)`` of windows that also start elsewhere."""
+def _shifted(at: str) -> Column:
+    """``runs`` of a block, from where ``at`` says that it begins."""
+    return F.transform("runs", lambda r: F.struct((F.col(at) + r["first"]).alias("first"), (F.col(at) + r["last"]).alias("last")))
+
+
+def _whole(blocks: DataFrame) -> DataFrame:
+    """All windows of ``blocks(name, block, windows)``."""
+    return blocks.select("name", "block", F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))).alias("runs"))
+
+
+def _varied(distinct: DataFrame, index_bytes: int) -> DataFrame:
+    """Names of ``distinct(name, windows, inner)`` that an index must look into, negated, and whether they overfill one.
+
+    Keys of joins are computed anew on both sides, here and below, so that both
+    are dealt out anew and hot ones can be split.
+    """
+    size = F.sum(F.col("windows") + F.lit(LENGTH - 1))
+    names = distinct.groupBy("name").agg(F.count("*").alias("n"), F.bool_or("inner").alias("within"), size.alias("size")).where("n > 1 OR within")
+    return names.select(F.negate("name").alias("less"), (F.col("size") > index_bytes).alias("full"))
+
+
+def _runs(pieces: DataFrame, level: int, index_bytes: int, paths: list[str]) -> DataFrame:
+    """``pieces(name, block, full, bytes)``, distinct blocks, to their runs of windows that recur: ``(name, block, runs)``."""
+    few = pieces.where("not full").select("name", "block", "bytes").repartition("name").sortWithinPartitions("name", "block")
+    # the runs of a block in one row: as many as it has windows at most
+    out = few.mapInArrow(_search, MARKS).groupBy("name", "block").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    full = pieces.where("full").select("name", "block", "bytes")
+    return out if full.isEmpty() else out.union(_divided(full, level + 1, index_bytes, paths))
+
+
+def _divided(full: DataFrame, level: int, index_bytes: int, paths: list[str]) -> DataFrame:
+    """As :func:`_runs`, for blocks of names that overfill an index."""
+    parts, path = stored(full.mapInArrow(_divide(ANCHORS[level]), PARTS))
+    paths.append(path)
+    if ANCHORS[level] == LENGTH:
+        found = _whole(parts.groupBy("name", "block").agg(F.sum("windows").alias("n"), F.max("windows").alias("windows")).where("n > 1"))
+        runs = F.array(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("windows") - 1).alias("last")))
+    else:
+        of_block = (F.count("*").alias("n"), F.max("windows").alias("windows"), F.bool_or("inner").alias("inner"), F.min("bytes").alias("bytes"))
+        distinct, path = stored(parts.groupBy("name", "block").agg(*of_block))
+        paths.append(path)
+        pieces, path = stored(distinct.join(_varied(distinct, index_bytes), F.negate("name") == F.col("less")).select("name", "block", "full", "bytes"))
+        paths.append(path)
+        found = _whole(distinct.where("n > 1")).union(_runs(pieces, level, index_bytes, paths))
+        runs = _shifted("at")
+    found = found.select(F.struct("name", "block").alias("marked"), "runs")
+    outer = parts.drop("bytes").join(found, F.struct("name", "block") == F.col("marked"))
+    outer = outer.select(F.col("outer_name").alias("name"), F.col("outer_block").alias("block"), runs.alias("runs"))
+    return outer.groupBy("name", "block").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+
+
+def find_repeats(docs: DataFrame, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(doc_id, text, ka, kb)`` and their marks ``(ma, mb, marks)``: runs ``(first, last)`` of windows that also start elsewhere.
+
+    Rows equal in doc_id and text share ``(ka, kb)`` and one row of marks.
+    ``index_bytes`` bounds the blocks of one name in one index; results don't depend on it.
+    """
+    spark = docs.sparkSession
     some = with_text(docs, "doc_id")
     keyed = some.mapInArrow(_row_keys, some.select("doc_id", "text").schema.add("ka", "long").add("kb", "long"))
     blocks, path = stored(some.mapInArrow(_scan_blocks, BLOCKS))
-    names = blocks.groupBy("name").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"), F.bool_or("inner").alias("within"))
-    names = names.where("n > 1 OR within").select(F.negate("name").alias("less"), (F.col("within") | (F.col("low") != F.col("high"))).alias("varied"))
-    # keys are computed anew on both sides of the joins, so that both are dealt out anew and hot ones can be split
-    shared, _ = stored(blocks.join(names, F.negate("name") == F.col("less")).drop("less"))
-    forget(docs.sparkSession, path)
+    names = blocks.groupBy("name").agg(F.count("*").alias("n"), F.bool_or("inner").alias("within")).where("n > 1 OR within")
+    shared, shared_path = stored(blocks.join(names.select(F.negate("name").alias("less")), F.negate("name") == F.col("less")).drop("less"))
+    forget(spark, path)
     one = F.min(F.struct("ka", "kb", "at", "windows")).alias("one")
-    distinct = materialise(shared.groupBy("name", "block", "varied").agg(F.count("*").alias("n"), one))
-    whole = distinct.where("n > 1").select("name", "block", F.array(F.struct(F.lit(0).alias("first"), (F.col("one.windows") - 1).alias("last"))).alias("runs"))
-    wanted = distinct.where("varied")
-    crowded = wanted.groupBy("name").agg((F.count("*") > CROWDED).alias("crowded")).select(F.negate("name").alias("less"), "crowded")
-    wanted = wanted.join(crowded, F.negate("name") == F.col("less")).select(
-        F.col("one.ka").alias("wa"), F.col("one.kb").alias("wb"),
-        F.struct("one.at", "one.windows", "name", "block", "crowded").alias("x"),
+    distinct = materialise(
+        shared.groupBy("name", "block").agg(F.count("*").alias("n"), F.bool_or("inner").alias("inner"), one)
+        .select("name", "block", "n", "inner", "one", F.col("one.windows").alias("windows"))
     )
+    wanted = distinct.join(_varied(distinct, index_bytes), F.negate("name") == F.col("less")).select(
+        F.col("one.ka").alias("wa"), F.col("one.kb").alias("wb"), F.struct("one.at", "windows", "name", "block", "full").alias("x")
+    )
     wanted = wanted.groupBy("wa", "wb").agg(F.collect_list("x").alias("wanted"))  # of one text: bounded by its length
     cut = keyed.join(wanted, (F.col("ka") == F.col("wa")) & (F.col("kb") == F.col("wb"))).select("text", "wanted")
-    pieces = materialise(cut.mapInArrow(_cut_blocks, PIECES))
-    whole_blocks = pieces.where("not crowded").repartition("name").sortWithinPartitions("name", "block")
-    part = whole_blocks.select("name", "block", "bytes").mapInArrow(_search, MARKS)
-    windows = pieces.where("crowded").select("name", "block", "at", F.hex("bytes").alias("digest"))
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.lower("digest").alias("again"))
-    single = windows.join(again, F.lower("digest") == F.col("again")).select("name", "block", F.col("at").alias("first"), F.col("at").alias("last"))
-    # the runs of a block in one row: as many as it has windows at most
-    part = part.union(single).groupBy("name", "block").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    marks = materialise(whole.union(part).select(F.struct("name", "block").alias("marked"), "runs"))
-    found = shared.join(marks, F.struct("name", "block") == F.col("marked"))
-    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["first"]).alias("first"), (F.col("at") + r["last"]).alias("last")))
-    return keyed, found.select("ka", "kb", moved.alias("runs"))
-
-
-def cut_repeats(docs: DataFrame) -> DataFrame:
+    pieces, path = stored(cut.mapInArrow(_cut_blocks, PIECES))
+    paths = [path, shared_path]
+    runs = _whole(distinct.where("n > 1")).union(_runs(pieces, 0, index_bytes, paths))
+    runs = materialise(runs.select(F.struct("name", "block").alias("marked"), "runs"))
+    found = shared.join(runs, F.struct("name", "block") == F.col("marked")).select("ka", "kb", _shifted("at").alias("runs"))
+    # a set: equal rows of the input have equal marks
+    marks = found.groupBy(F.col("ka").alias("ma"), F.col("kb").alias("mb")).agg(F.flatten(F.collect_set("runs")).alias("marks"))
+    marks = materialise(marks)
+    for path in paths:
+        forget(spark, path)
+    return keyed, marks
+
+
+def cut_repeats(docs: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)`` of every row, ``kept`` being the bytes left.
 
     A byte goes if a 200-byte string over it also starts anywhere else, in the
@@ -388,13 +468,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     under 200 bytes stay whole; equal rows lose everything from 200 bytes on;
     ``kept`` may begin or end within a character; other columns are ignored.
     """
-    keyed, found = find_repeats(docs)
-    marks = found.groupBy(F.col("ka").alias("ma"), F.col("kb").alias("mb")).agg(F.flatten(F.collect_list("runs")).alias("marks"))
+    keyed, marks = find_repeats(docs, index_bytes)
     rows = keyed.join(marks, (F.col("ka") == F.col("ma")) & (F.col("kb") == F.col("mb")), "left")
     return rows.select("doc_id", "text", "marks").mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def repeats_report(docs: DataFrame) -> DataFrame:
+def repeats_report(docs: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """As :func:`cut_repeats`, with the SHA-256 of the bytes left in place of them."""
-    cut = cut_repeats(docs)
+    cut = cut_repeats(docs, index_bytes)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
