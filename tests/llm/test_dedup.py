@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from yomisen.llm import components, exact_dedup, repeats, simhash
 
@@ -54,9 +56,7 @@ def plain_near(rows):
     return [(i, f"{f:016x}", least.get(group[f])) for (i, _), f in zip(rows, prints, strict=True)]
 
 
-@pytest.mark.parametrize("limit", [64, 1])
-def test_near_duplicates(docs, rows, limit, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRWISE_LIMIT", limit)
+def test_near_duplicates(docs, rows):
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == Counter(plain_near(rows))
 
 
@@ -75,7 +75,7 @@ def test_drop_near_duplicates_keeps_one_of_each(docs, rows):
     assert len(distinct) == len(set(group.values()))
 
 
-def test_crowded_keys_lose_no_link(spark, monkeypatch):
+def test_crowded_keys_lose_no_link(spark):
     rng = np.random.default_rng(3)
     prints: set[int] = set()
     for _ in range(30):
@@ -87,11 +87,61 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
             prints.add(x)
     signed = np.array(sorted(prints), np.uint64).view(np.int64).tolist()
     want = Counter(Counter(plain_groups(prints).values()).values())
-    for limit in (64, 3):
-        monkeypatch.setattr(simhash, "PAIRWISE_LIMIT", limit)
-        links = simhash.links_of(spark.createDataFrame([(x,) for x in signed], "fp long"))
-        roots = {r["node"]: r["root"] for r in components.components(links).collect()}
-        assert Counter(Counter(roots.get(x, x) for x in signed).values()) == want
+    links = simhash.links_of(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    pairs = {(min(a, b), max(a, b)) for a, b in links.collect()}
+    assert pairs == {(min(a, b), max(a, b)) for a, b in combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    roots = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert Counter(Counter(roots.get(x, x) for x in signed).values()) == want
+
+
+def test_one_full_key_loses_no_link_and_fills_no_file(spark):
+    """Every pattern of ten bits that one key leaves open."""
+    signed = [0x0123456789000000 | i & 31 | (i & 0x3E0) << 5 for i in range(1024)]
+    prints = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = simhash.links_of(prints)
+    assert links.count() == sum((a ^ b).bit_count() <= 2 for i, a in enumerate(signed) for b in signed[:i])
+    met = simhash._met(prints.select("fp", F.explode(simhash._keys(F.col("fp"))).alias("key")))
+    files = met.select("key", F.explode(simhash._files(F.col("fp"), F.col("key"))).alias("file")).groupBy("key", "file").count()
+    assert files.agg(F.max("count")).first()[0] <= simhash.FILE_SIZE
+
+
+def plain_similarity(a, b):
+    a, b = (lower(x).encode().split() for x in (a, b))
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_drop_similar(spark):
+    """Finds nearly all texts that share 0.8 of their five-word shingles, and leaves alone those that share under half."""
+    rng = random.Random(4)
+    rows = []
+    for group in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(40, 400))]
+        rows.append((10 * group, " ".join(words)))
+        for copy in range(1, 4):
+            share = rng.choice((0.004, 0.01, 0.02, 0.2))
+            changed = [f"w{rng.randrange(3000)}" if rng.random() < share else w for w in words]
+            rows.append((10 * group + copy, " ".join(changed)))
+    rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "ONE two"), (5004, "one three"), (None, "one  two")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, w0 int")
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    kept = {r["doc_id"] for r in kept.collect()}
+    texts = dict(rows)
+    assert {5000, 5002, 5004} <= kept and not {5001, 5003, None} & kept
+    alike = [(a, b) for g in range(60) for a in range(10 * g, 10 * g + 4) for b in range(10 * g, a) if plain_similarity(texts[a], texts[b]) >= 0.8]
+    clean = [a for g in range(60) for a in range(10 * g, 10 * g + 4) if all(plain_similarity(texts[a], texts[b]) < 0.5 for b in range(10 * g, 10 * g + 4) if b != a)]
+    assert len(alike) > 60 and sum(a in kept and b in kept for a, b in alike) <= 0.1 * len(alike)
+    assert len(clean) > 20 and set(clean) <= kept
+
+
+def test_drop_similar_holds_one_of_a_full_group(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = [(i, " ".join([*words[: i % 190], f"x{i}", *words[i % 190 :]])) for i in range(600)]
+    docs = spark.createDataFrame([*rows, *rows], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.drop_similar(docs).collect()] == [0, 0]
+    assert simhash.drop_similar(docs.limit(0)).collect() == []
 
 
 def test_components_of_a_long_chain(spark):

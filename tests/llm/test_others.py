@@ -554,12 +554,12 @@ def test_pipeline_against_the_stages_by_brute_force(spark, sf_dir):
     for i, t in sorted(good):
         last[plain.lower(t)] = i
     unique = [(i, t) for i, t in good if last[plain.lower(t)] == i]
-    prints = {i: plain.plain_fingerprint(t) for i, t in unique}
-    group = plain.plain_groups(prints.values())
-    least: dict = {}
-    for i, f in prints.items():
-        least[group[f]] = min(least.get(group[f], i), i)
-    single = [(i, t) for i, t in unique if least[group[prints[i]]] == i]
+    alike = [(a, b) for (a, s), (b, t) in combinations(sorted(unique), 2) if plain.plain_similarity(s, t) >= 0.79]  # as near as fingerprints tell
+    root = {i: i for i, _ in unique}
+    for _ in root:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    single = [(i, t) for i, t in unique if root[i] == i]
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     items = [words(r["text"]) for r in bench.collect()]
     clean = {i for i, t in single if not any(x in words(t) for x in items)}

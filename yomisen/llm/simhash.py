@@ -6,14 +6,22 @@ differences summed over the first l segments from there stay within
 ``l * DISTANCE / SEGMENTS`` for every l (the pigeonring principle).  With 8
 segments and distance 2 the budgets are 0, 0, 0, 1, 1, 1, 1, 2: three segments
 agree, and of the next four at least one half agrees.  So each fingerprint is
-filed under 16 exact keys of 40 bits (8 starts, 2 halves), candidates meet by an
-equi-join, and the whole chain of budgets is tested before the full Hamming
-distance.
+filed under 16 exact keys of 40 bits (8 starts, 2 halves).  Those that share a key
+are filed anew under 9 longer keys of 56 bits that the rest of the chain allows;
+candidates meet there, at most 256 in a file, and the whole chain of budgets is
+tested before the full Hamming distance.
+
+:func:`drop_similar` finds pairs that are further apart: all but 0.2 of whose
+five-word shingles are shared, which moves some ten of 64 bits.  Shingles make a
+wide fingerprint, the words themselves, which an edit moves much less, several
+short ones.  Chains over the short ones bring candidates together; the full
+Hamming distance of the wide ones decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +38,15 @@ SEED = 42
 SEGMENTS = 8
 SEGMENT_BITS = 64 // SEGMENTS
 DISTANCE = 2
-#: Fingerprints under one key that are compared pair by pair; fuller keys go by way of shared neighbours.
-PAIRWISE_LIMIT = 64
+#: Fingerprints in one file at most: eight bits are left open.
+FILE_SIZE = 256
+#: For drop_similar: words of a shingle, 64-bit words of the wide fingerprint, short fingerprints, and the distance that their chains allow.
+SIMILAR_WORDS, WIDE, SHORT, SHORT_DISTANCE = 5, 8, 3, 8
+
+
+PRINTS = [*(f"w{i}" for i in range(WIDE)), *(f"s{i}" for i in range(SHORT))]
+#: Odd multipliers that mix a hash anew.
+_ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 for i in range(WIDE + 1)], np.uint64)
 
 
 def fingerprint(data: bytes) -> int:
@@ -67,9 +82,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return some.mapInArrow(_fingerprints, schema)
 
 
-def budget(length: int) -> int:
+def budget(length: int, distance: int = DISTANCE) -> int:
     """Differing bits allowed in the first ``length`` segments of a chain."""
-    return length * DISTANCE // SEGMENTS
+    return length * distance // SEGMENTS
 
 
 def _turned(fp: Column, start: int) -> Column:
@@ -91,59 +106,63 @@ def _keys(fp: Column) -> Column:
     return F.array(*out)
 
 
-def _free_bits(half: int) -> int:
-    """The bits of the turned ring that a key leaves open."""
-    return 0xFFFFFF if not half else (0xFFFF << 24) | 0xFF
+def _ring(bits: Column, start: Column) -> Column:
+    """As :func:`_turned`, for a start that is a column."""
+    turn = (start * SEGMENT_BITS).cast("int")
+    below = F.when(turn == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", bits, 64 - turn))
+    return F.call_function("shiftleft", bits, turn).bitwiseOR(below)
+
+
+def _files(fp: Column, key: Column) -> Column:
+    """The 9 files of a fingerprint under a key: the pair of segments that may differ agrees, or one of it, half the other and half the last."""
+    tag = F.shiftrightunsigned(key, 40)
+    ring = _ring(fp, F.shiftrightunsigned(tag, 1))
+    pair = F.when(tag.bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned(ring, 8)).otherwise(F.shiftrightunsigned(ring, 24))
 
+    def part(x: Column, at: int, bits: int) -> Column:
+        return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
-def _within(a: Column, b: Column, start: Column) -> Column:
+    out = [part(pair, 0, 16)]
+    for which in (0, 8):
+        for half in (0, 4):
+            for last in (0, 4):
+                value = F.shiftleft(part(pair, which, 8), 8).bitwiseOR(F.shiftleft(part(pair, 8 - which + half, 4), 4)).bitwiseOR(part(ring, last, 4))
+                out.append(F.lit(len(out) << 16).cast("long").bitwiseOR(value))
+    return F.array(*out)
+
+
+def _within(a: Column, b: Column, start: Column, distance: int = DISTANCE) -> Column:
     """Chain budgets from this start, then the whole distance."""
     apart = a.bitwiseXOR(b)
-    turn = (start * SEGMENT_BITS).cast("int")
-    ring = F.call_function("shiftleft", apart, turn).bitwiseOR(
-        F.when(turn == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", apart, 64 - turn))
-    )
+    ring = _ring(apart, start)
     ok = F.lit(True)
     for length in range(1, SEGMENTS):
-        ok = ok & (F.bit_count(F.shiftrightunsigned(ring, 64 - length * SEGMENT_BITS)) <= budget(length))
-    return ok & (F.bit_count(apart) <= DISTANCE)
+        ok = ok & (F.bit_count(F.shiftrightunsigned(ring, 64 - length * SEGMENT_BITS)) <= budget(length, distance))
+    return ok & (F.bit_count(apart) <= distance)
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed(key, ...)`` whose key is not theirs alone."""
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.negate("key").alias("less"))
+    # keys are computed anew on both sides, so that both are dealt out anew and a hot one can be split
+    return keyed.join(several, F.negate("key") == F.col("less")).drop("less")
 
 
 def links_of(prints: DataFrame) -> DataFrame:
-    """``prints(fp)``, distinct, to links ``(a, b)`` that connect all within the distance.
+    """``prints(fp)``, distinct, to all links ``(a, b)`` within the distance.
 
-    A key with up to ``PAIRWISE_LIMIT`` fingerprints compares them all.  In a
-    fuller one every fingerprint is filed under itself and its one-bit
-    neighbours in the bits that the key leaves open, and linked to the least in
-    each such file: any two in a file are within two bits, and any two within
-    two bits share a file.  That takes rows in proportion to the group.
+    A file leaves eight bits open, so it has ``FILE_SIZE`` fingerprints at most
+    and each of them 36 partners, however many texts are alike.
     """
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(keyed.join(sizes, "key"))
-    few = met.where(F.col("n") <= PAIRWISE_LIMIT).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    met = _met(prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key")))
+    filed = met.select("fp", "key", F.explode(_files(F.col("fp"), F.col("key"))).alias("file"))
+    files = filed.groupBy("key", "file").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
     start = F.shiftrightunsigned("key", 41)
     partners = F.transform(
         "fps",
-        lambda a, i: F.struct(
-            a.alias("a"), F.filter(F.slice(F.col("fps"), i + 2, PAIRWISE_LIMIT), lambda b: _within(a, b, start)).alias("bs")
-        ),
-    )
-    few = few.select(F.explode(partners).alias("x")).select("x.a", F.explode("x.bs").alias("b"))
-    many = []
-    full = met.where(F.col("n") > PAIRWISE_LIMIT)
-    for tag in range(2 * SEGMENTS):
-        turn, open_bits = tag // 2 * SEGMENT_BITS, _free_bits(tag % 2)
-        flips = [0] + [1 << i for i in range(64) if open_bits >> i & 1]
-        flips = [(x >> turn | x << (64 - turn)) & (2**64 - 1) for x in flips]
-        signed = np.array(flips, np.uint64).view(np.int64).tolist()
-        many.append(F.when(F.shiftrightunsigned("key", 40) == tag, F.array(*map(F.lit, signed))))
-    files = full.select("fp", F.explode(F.coalesce(*many)).alias("flip")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("file")
+        lambda a, i: F.struct(a.alias("a"), F.filter(F.slice(F.col("fps"), i + 2, FILE_SIZE), lambda b: _within(a, b, start)).alias("bs")),
     )
-    hubs = files.groupBy("file").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = files.join(hubs, "file").select(F.col("fp").alias("a"), "b")
-    return few.union(stars).where("a <> b").distinct()
+    return files.select(F.explode(partners).alias("x")).select("x.a", F.explode("x.bs").alias("b")).distinct()
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +202,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of one doc_id with several texts the one with the least text hash stays;
     rows equal in doc_id and text are one document and stay or go together.
     """
-    found = _rows_with_least(docs)
+    return _without(docs, _rows_with_least(docs))
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` but for the rows of ``found(doc_id, hash, least)`` that aren't their group's first."""
     goes = found.where(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("hash") == F.col("least.hash"))))
     id_, hash_ = unused(docs, "id"), unused(docs, "hash")
     goes = goes.select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).distinct()
@@ -191,5 +214,104 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return docs.join(goes, docs["doc_id"].eqNullSafe(F.col(id_)) & (here == F.col(hash_)), "left_anti")
 
 
+def _spread_bits(hashes: np.ndarray, n: int) -> np.ndarray:
+    """``n`` 64-bit fingerprints of hashed features: each hash is mixed anew for each."""
+    counts = np.zeros((n, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        some = hashes[at : at + (1 << 14), None] * _ODD[None, :n]
+        some ^= some >> np.uint64(32)
+        some *= _ODD[None, 1 : n + 1]
+        some ^= some >> np.uint64(29)
+        counts += np.unpackbits(some.astype(">u8").view(np.uint8).reshape(len(some), n, 8), axis=2).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), axis=1).reshape(n, 8).view(">u8").ravel().astype(np.uint64)
+
+
+def wide_prints(data: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """``WIDE`` words of a fingerprint of the distinct shingles, then ``SHORT`` fingerprints of the distinct words; no words give zeros."""
+    found = data.lower().split()
+    if not found:
+        return np.zeros(WIDE + SHORT, np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    runs = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
+    shingles = np.unique(np.array([digest(b" ".join(x)) for x in runs], np.uint64))
+    single = np.array([digest(x) for x in set(found)], np.uint64)
+    return np.concatenate([_spread_bits(shingles, WIDE), _spread_bits(single, SHORT)])
+
+
+def wide_distance(similarity: float) -> int:
+    """Differing bits of a wide fingerprint that sets of this Jaccard similarity exceed one time in six.
+
+    Their cosine is 2s / (1 + s), and a bit differs with the angle's share of a half turn.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * WIDE
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def _wide(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                prints = np.array([wide_prints(x, words) for x in texts_of(part)], np.uint64).reshape(-1, WIDE + SHORT).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(prints[:, i])) for i in range(WIDE + SHORT)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), *columns], names=["doc_id", "hash", *PRINTS])
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``nodes(node, w0.., s0..)`` to links ``(a, b)`` of similar ones.
+
+    Those that share a key of a short fingerprint are held against the least of
+    them (another for each fingerprint): chain budgets first, then the distance
+    of the wide fingerprints.  Rows are in proportion to nodes, however many are alike.
+    """
+    def keys(i: int) -> Column:
+        return F.transform(_keys(F.col(f"s{i}")), lambda k: k.bitwiseOR(F.lit(i << 44).cast("long")))
+
+    def chained(i: int) -> Column:
+        own = F.filter("chains", lambda c: F.shiftrightunsigned(c, 3) == i)
+        return F.exists(own, lambda c: _within(F.col(f"s{i}"), F.col(f"s{i}_"), c.bitwiseAND(F.lit(7).cast("long")), SHORT_DISTANCE))
+
+    keyed = nodes.select("node", F.explode(F.concat(*map(keys, range(SHORT)))).alias("key"))
+    order = F.xxhash64("node", F.shiftrightunsigned("key", 44))
+    first = keyed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(first.select(F.negate("key").alias("less"), "first"), F.negate("key") == F.col("less")).select("node", "key", order.alias("own"), "first")
+    met = materialise(met)
+    hubs = met.where("own = first").groupBy("key").agg(F.min("node").alias("hub")).select(F.negate("key").alias("less"), "hub")
+    pairs = met.join(hubs, F.negate("key") == F.col("less")).where("node <> hub")
+    pairs = pairs.groupBy("node", "hub").agg(F.collect_set(F.shiftrightunsigned("key", 41)).alias("chains"))  # of 24 chains
+    other = nodes.select(F.bitwise_not("node").alias("other"), *(F.col(x).alias(f"{x}_") for x in PRINTS))
+    pairs = pairs.join(nodes.withColumn("same", F.bitwise_not("node")).drop("node"), F.bitwise_not("node") == F.col("same"))
+    pairs = pairs.join(other, F.bitwise_not("hub") == F.col("other"))
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_"))) for i in range(WIDE)), F.lit(0))
+    return pairs.where(reduce(Column.__or__, map(chained, range(SHORT)))).where(apart <= wide_distance(similarity)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, words: int = SIMILAR_WORDS) -> DataFrame:
+    """``docs`` without all but one document of each group that links of similar texts make: its smallest doc_id stays.
+
+    ``similarity`` is that of the sets of ``words``-word shingles, as the wide
+    fingerprints show it.  Of one doc_id with several texts the one with the least
+    text hash stays; rows equal in doc_id and text are one document and stay or go
+    together; texts without words are alike; a null doc_id goes before others; no
+    rows give none.
+    """
+    some = with_text(docs, "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    schema = StructType([some.schema["doc_id"]]).add("hash", LongType())
+    for name in PRINTS:
+        schema = schema.add(name, LongType())
+    rows = materialise(some.mapInArrow(_wide(words), schema).withColumn("node", F.xxhash64(*PRINTS)))
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "hash")
+    nodes = materialise(rows.groupBy("node", *PRINTS).agg(F.min(order).alias("first")))
+    roots = components(similar_links(nodes.drop("first"), similarity))
+    roots = roots.union(roots.select("root", "root").distinct()).select(F.bitwise_not("node").alias("other"), "root")
+    placed = nodes.join(materialise(roots), F.bitwise_not("node") == F.col("other"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("least")).select(F.bitwise_not("root").alias("other"), "least")
+    placed = materialise(placed.join(least, F.bitwise_not("root") == F.col("other")).select(F.bitwise_not("node").alias("other"), "least"))
+    found = rows.join(placed, F.bitwise_not("node") == F.col("other"))
+    return _without(docs, found)
+
+
 def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
