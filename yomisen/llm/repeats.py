@@ -44,7 +44,7 @@ MOST_WINDOWS = 2048
 #: Bytes of distinct blocks of one name in one index.
 INDEX_BYTES = 1 << 18
 #: Bytes of distinct blocks of several names that are indexed together.
-TOGETHER_BYTES = 1 << 20
+TOGETHER_BYTES = 1 << 19
 #: No UTF-8 text has this byte.
 SEPARATOR = 0xFF
 
@@ -136,7 +136,7 @@ BLOCKS = "ka long, kb long, at int, windows int, name long, block long, inner bo
 def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=1 << 20):
             texts, ids = texts_of(part), part.column("doc_id").to_pylist()
             data, text, at, count, name, within = blocks_of(texts, ANCHORS[0])
             keys = np.array([text_key(i, t) for i, t in zip(ids, texts, strict=True)], np.int64).reshape(-1, 2)
