@@ -216,8 +216,10 @@ def test_matching_statistics_are_longest_repeats():
         assert int(index.lengths.sum()) == n
 
 
-def test_exact_duplicates(spark, docs, rows):
-    got = exact_dedup.exact_duplicates(docs, exact_dedup.new_index(spark)).collect()
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_exact_duplicates(spark, docs, rows, batches):
+    index = exact_dedup.new_index(spark, 5)
+    got = exact_dedup.exact_duplicates(docs, index, batches=batches).collect()
     groups: dict = {}
     for i, t in rows:
         groups.setdefault(lower(t), []).append(i)
@@ -229,31 +231,44 @@ def test_exact_duplicates(spark, docs, rows):
         assert r["keep_id"] == (max(ids) if ids else None)
         assert not r["kept"] or r["doc_id"] == r["keep_id"]
     assert sum(r["kept"] for r in got) == len(groups)
+    assert index.digests().count() == len(groups)
+    again = exact_dedup.exact_duplicates(docs, index, "later").collect()
+    assert not any(r["kept"] for r in again) and {r["text_sha256"]: r["keep_id"] for r in again} == {r["text_sha256"]: r["keep_id"] for r in got}
 
 
 def test_drop_exact_duplicates_and_a_second_batch(spark, docs, rows):
-    index = exact_dedup.new_index(spark)
-    first = exact_dedup.drop_exact_duplicates(docs, index)
+    index = exact_dedup.new_index(spark, 5)
+    first = exact_dedup.drop_exact_duplicates(docs, index, "first")
     assert first.columns == docs.columns
     kept = first.collect()
     assert Counter(lower(r["text"]) for r in kept) == Counter({lower(t) for _, t in rows})
     more = spark.createDataFrame([(9000, rows[0][1]), (9001, "quite new"), (9002, "QUITE NEW")], "doc_id long, text string")
-    assert [r["doc_id"] for r in exact_dedup.drop_exact_duplicates(more, index).collect()] == [9002]
-    again = exact_dedup.DigestIndex(spark, index.table)
-    assert exact_dedup.drop_exact_duplicates(more, again).collect() == []
+    assert [r["doc_id"] for r in exact_dedup.drop_exact_duplicates(more, index, "second").collect()] == [9002]
+    again = exact_dedup.DigestIndex(spark, index.table, 5)
+    assert exact_dedup.drop_exact_duplicates(more, again, "third").collect() == []
     assert index.digests().count() == len({lower(t) for _, t in rows}) + 1
 
 
+def test_a_batch_that_failed_and_is_run_again(spark, docs, rows):
+    """What it has appended before its result was written doesn't count against it."""
+    index = exact_dedup.new_index(spark, 5)
+    exact_dedup.drop_exact_duplicates(docs, index, "b1")  # its result is lost
+    kept = exact_dedup.drop_exact_duplicates(docs, index, "b1").collect()
+    assert Counter(lower(r["text"]) for r in kept) == Counter({lower(t) for _, t in rows})
+    assert index.digests().count() == len({lower(t) for _, t in rows})
+    assert exact_dedup.drop_exact_duplicates(docs, index, "b2").collect() == []
+
+
 def test_the_index_is_joined_in_its_buckets(spark, docs):
-    index = exact_dedup.new_index(spark)
-    exact_dedup.drop_exact_duplicates(docs, index)
+    index = exact_dedup.new_index(spark, 5)
+    exact_dedup.drop_exact_duplicates(docs, index, "first")
     groups = docs.select(exact_dedup.digest_of(docs["text"]).alias("digest"))
-    plan = index.unseen(groups)._jdf.queryExecution().toString()
+    plan = index.unseen(groups, "second")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
     assert "Bucketed: true" in plan
 
 
 def test_exact_duplicates_of_nothing(spark, no_docs):
-    index = exact_dedup.new_index(spark)
-    assert exact_dedup.exact_duplicates(no_docs, index).collect() == []
+    index = exact_dedup.new_index(spark, 5)
+    assert exact_dedup.exact_duplicates(no_docs, index, batches=2).collect() == []
     assert exact_dedup.drop_exact_duplicates(no_docs, index).collect() == []

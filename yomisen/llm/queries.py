@@ -52,8 +52,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.new_index(spark)
-    out = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), index)
+    docs = _table(spark, sf_dir, "documents")
+    index = exact_dedup.new_index(spark, exact_dedup.buckets_for(docs))
+    out = exact_dedup.exact_duplicates(docs, index, batches=2)
     index.drop()  # of this query alone
     return out
 
