@@ -79,6 +79,56 @@ def test_the_packer_takes_the_tightest_bin_and_closes_the_fullest():
     assert packer.n_open == 1
 
 
+def plain_packing(lengths, size, most_open):
+    """Tries every open bin; the tightest, and of those the one filed last; one too many closes the fullest."""
+    free, filed, out, closed = [], {}, [], 0
+    for n, length in enumerate(lengths):
+        fitting = [i for i in filed if free[i] >= length]
+        if fitting:
+            i = min(fitting, key=lambda i: (free[i], -filed[i]))
+            del filed[i]
+        else:
+            i = len(free)
+            free.append(size)
+        out.append((i, size - free[i]))
+        free[i] -= length
+        if free[i]:
+            filed[i] = n
+        if len(filed) > most_open:
+            del filed[min(filed, key=lambda i: (free[i], -filed[i]))]
+            closed += 1
+    return out, closed
+
+
+def test_packing_places_as_brute_force_does():
+    rng = random.Random(2)
+    for size, most_open, n in ((10, 2, 200), (100, 5, 800), (2048, 16, 2000), (2048, 1000, 2000)):
+        lengths = [rng.randint(1, size) if rng.random() < 0.6 else rng.randint(1, max(1, size // 8)) for _ in range(n)]
+        packer = packing.Packer(size=size, most_open=most_open)
+        want, closed = plain_packing(lengths, size, most_open)
+        assert [packer.place(x) for x in lengths] == want
+        assert bool(closed) == (most_open < 1000)
+
+
+def test_packers_look_ahead_and_keep_to_their_bins(spark, monkeypatch):
+    """Rows of many packers and blocks, a column of the same name as the operator's own, equal rows."""
+    rng = np.random.default_rng(5)
+    lengths = [int(x) for x in rng.integers(1, 2049, 4000)]
+    rows = [(i // 2, 0, 0, n, i // 2, "x") for i, n in enumerate(lengths)]
+    cut = spark.createDataFrame(rows, packing.PIECES + ", packer string").repartition(7)
+    got = packing.pack(cut, open_bins=20, packer_tokens=500_000).collect()
+    assert Counter((r["doc_id"], r["length"], r["packer"]) for r in got) == Counter((r[0], r[3], "x") for r in rows)
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:], strict=False))
+        assert sum(n for _, n in pieces) <= packing.SEQUENCE
+    assert len({b >> 32 for b in bins}) == -(-sum(lengths) // 500_000)
+    again = packing.pack(cut.repartition(3), open_bins=20, packer_tokens=500_000).collect()
+    assert sorted((r["doc_id"], r["length"], r["sequence_id"], r["offset"]) for r in again) == sorted((r["doc_id"], r["length"], r["sequence_id"], r["offset"]) for r in got)
+
+
 def test_packing_nothing(no_docs):
     assert packing.packed(no_docs).collect() == []
 
