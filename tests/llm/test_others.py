@@ -211,6 +211,48 @@ def test_the_widest_stretch_is_the_one_of_brute_force():
         assert int(equal[x:y].sum()) == best and 5 * best >= 4 * (y - x)
 
 
+def plain_overlaps(item, text):
+    """The most equal tokens of a stretch that counts, over every way of laying the two side by side; 0 if there is none."""
+    best = 0
+    for diagonal in range(1 - len(item), len(text)):
+        equal = np.array([0 <= diagonal + i < len(text) and text[diagonal + i] == x for i, x in enumerate(item)])
+        count = np.append(0, np.cumsum(equal))
+        n = count[None, :] - count[:, None]
+        size = np.arange(len(count))[None, :] - np.arange(len(count))[:, None]
+        good = n[(size > 0) & (5 * n >= 4 * size)]
+        if len(good) and good.max() >= decontaminate.least_equal(len(item)):
+            best = max(best, int(good.max()))
+    return best
+
+
+def test_overlaps_are_those_of_brute_force(spark):
+    """Items of every length, copies with tokens substituted, cut off at a text's ends, and repetitive ones."""
+    rng = random.Random(12)
+    some = lambda n, kinds: [f"w{rng.randrange(kinds)}" for _ in range(n)]
+    items = [some(n, 400) for n in [*range(1, 31), 40, 60, 100]] + [["a"] * 20, ["a", "b"] * 8]
+    texts = [some(rng.randint(0, 120), 12) for _ in range(10)] + [["a"] * 50, ["b", "a"] * 25 + ["c"]]
+    for item in items:
+        for share in (0, 0.05, 0.1, 0.2, 0.25):
+            copy = [f"x{rng.randrange(99)}" if rng.random() < share else w for w in item]
+            texts.append(some(rng.choice((0, 9)), 400) + copy[rng.choice((0, 0, len(copy) // 5)) :] + some(9, 400))
+    bench = spark.createDataFrame([(k, " ".join(x), 0) for k, x in enumerate(items)], "item_id long, text string, n_equal int")
+    docs = spark.createDataFrame([(i, ", ".join(t), "q") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
+    docs = docs.union(docs.where("doc_id < 40"))
+    found = decontaminate.contamination(docs, bench).collect()
+    want = {(i, k): n for i, t in enumerate(texts) for k, x in enumerate(items) if (n := plain_overlaps(x, t))}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == set(want)
+    assert all(r["n_equal"] <= want[r["doc_id"], r["item_id"]] for r in found) and len(want) > 100
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
+def test_repetitive_texts_cost_their_length():
+    bench = decontaminate.Benchmark([(1, b"a " * 30), (2, b"a b " * 15 + b"c")])
+    began = time.perf_counter()
+    for text in (b"a " * 100_000, b"a b " * 50_000, b"a" * 1_000_000, "\u3042".encode() * 100_000):
+        list(decontaminate._found(bench, [text]))
+    assert time.perf_counter() - began < 8
+
+
 def test_slices_of_the_benchmark_give_the_same(spark, bench_rows, monkeypatch):
     bench = spark.createDataFrame(bench_rows, "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x {t} y") for i, t in bench_rows if t], "doc_id long, text string")

@@ -14,13 +14,16 @@ passage is common.
 
 from __future__ import annotations
 
+import math
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, joined_buffer, range_of, texts_of
@@ -28,10 +31,14 @@ from .common import chunks, joined_buffer, range_of, texts_of
 #: Fixed places looked at, the shortest first.  Together they hit every stretch that counts as an overlap: 12 equal tokens, 0.8 of
 #: the stretch.  (A longer one splits into parts of 15 to 29 tokens, one of which counts too; those are enumerated in a test.)
 MASKS = ("1111011", "1111101", "1100011011", "11010001011")
-#: A stretch must have so many equal tokens (or the whole item if that is shorter) ...
-LEAST_TOKENS = 12
+#: A stretch must have so many equal tokens (or ``LEAST_SHARE`` of a shorter item; all of one of under ``LEAST_ITEM`` tokens) ...
+LEAST_TOKENS, LEAST_ITEM = 12, 8
+#: Tokens from which an item is found by the masks; shorter ones by parts of theirs.
+SEEDED_ITEM = 15
 #: ... and so large a part of them equal.
 LEAST_SHARE = 0.8
+#: Elements of a table that holds an item against many places at once.
+TABLE = 1 << 20
 #: Bytes of benchmark text sent to the executors at a time.
 SLICE_BYTES = 8 << 20
 
@@ -118,13 +125,18 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the largest score: 1 for an equal token, -2 for another."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
-    return start, end
+def best_stretches(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row, start, end and equal tokens of the stretch with the largest score: 1 for an equal token, -2 for another."""
+    rows, places = np.arange(len(equal)), np.arange(equal.shape[1] + 1)
+    total = np.zeros((len(equal), equal.shape[1] + 1), np.int32)
+    np.cumsum(np.where(equal, 1, -2), axis=1, out=total[:, 1:])
+    least = np.minimum.accumulate(total, axis=1)
+    end = np.argmax(total - least, axis=1)
+    begins = (total == least[rows, end][:, None]) & (places <= end[:, None])
+    start = len(places) - 1 - np.argmax(begins[:, ::-1], axis=1)
+    count = np.zeros_like(total)
+    np.cumsum(equal, axis=1, out=count[:, 1:])
+    return start, end, count[rows, end] - count[rows, start]
 
 
 def widest_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -138,6 +150,21 @@ def widest_stretch(equal: np.ndarray) -> tuple[int, int]:
     return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
+#: A hit is an item and a diagonal in one number.
+_ITEM_BITS, _ZERO = 40, 1 << 39
+
+
+def _pairs(h: np.ndarray, at: np.ndarray, hashes: np.ndarray, items: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
+    """Hits of windows ``h`` that begin at ``at``, without repeats within some ``TABLE`` of them."""
+    low, high = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
+    hit = np.flatnonzero(high > low)
+    low, n, at = low[hit], (high - low)[hit], at[hit]
+    part = np.cumsum(n) // TABLE  # a repetitive text has many
+    for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+        entry = range_of(low[some], n[some])
+        yield np.unique((items[entry] << _ITEM_BITS) + np.repeat(at[some], n[some]) - places[entry] + _ZERO)
+
+
 class Benchmark:
     """Seeds of benchmark items, sorted by hash."""
 
@@ -146,7 +173,7 @@ class Benchmark:
         self.tokens = [token_hashes(t)[0] for _, t in rows]
         hashes, items, places = [], [], []
         for k, tokens in enumerate(self.tokens):
-            for mask in MASKS if len(tokens) >= len(MASKS[0]) else ():
+            for mask in MASKS if len(tokens) >= SEEDED_ITEM else ():
                 h = seeds(tokens, mask)
                 hashes.append(h), items.append(np.full(len(h), k)), places.append(np.arange(len(h)))
         empty = [np.zeros(0, np.int64)]
@@ -154,50 +181,70 @@ class Benchmark:
         self.items, self.places = np.concatenate(items or empty), np.concatenate(places or empty)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.items, self.places = self.hashes[order], self.items[order], self.places[order]
-        # items of fewer tokens than a seed, by length: the hash of the whole item, sorted, and the item
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in range(1, len(MASKS[0])):
-            if short := [k for k, tokens in enumerate(self.tokens) if len(tokens) == n]:
-                h = np.concatenate([seeds(self.tokens[k], "1" * n) for k in short])
-                order = np.argsort(h, kind="stable")
-                self.short[n] = h[order], np.array(short)[order]
+        # shorter items are cut into one part more than tokens may differ, so that one part is whole: by its length, sorted hashes, items, places
+        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        parts: dict[int, list[tuple[int, int, int]]] = {}
+        for k, tokens in enumerate(self.tokens):
+            if 0 < len(tokens) < SEEDED_ITEM:
+                n = len(tokens) - least_equal(len(tokens)) + 1
+                cuts = [len(tokens) * i // n for i in range(n + 1)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    parts.setdefault(y - x, []).append((int(seeds(tokens[x:y], "1" * (y - x))[0]), k, x))
+        for width, found in parts.items():
+            found.sort()
+            h, item, place = zip(*found, strict=True)
+            self.short[width] = np.array(h, np.uint64), np.array(item), np.array(place)
         # a table of one bit for each hash's low 22 bits turns most windows away
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items, and where in the document their first token would lie (diagonals), without repeats."""
-        items, diagonals = [], []
+        found: list[np.ndarray] = []
         for mask in MASKS:
             h = seeds(tokens, mask)
             maybe = np.flatnonzero(self.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            low = np.searchsorted(self.hashes, h[maybe], side="left")
-            high = np.searchsorted(self.hashes, h[maybe], side="right")
-            entry = range_of(low, high - low)
-            items.append(self.items[entry])
-            diagonals.append(np.repeat(maybe, high - low) - self.places[entry])
-        for n, (hashes, short) in self.short.items():
-            h = seeds(tokens, "1" * n)
-            low, high = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
-            items.append(short[range_of(low, high - low)])
-            diagonals.append(np.repeat(np.arange(len(h)), high - low))
-        both = np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)], 1), axis=0)
-        return both[:, 0], both[:, 1]
-
-    def overlaps(self, tokens: np.ndarray, start: int, end: int, items: np.ndarray, diagonals: np.ndarray) -> Iterator[tuple]:
-        """Verified overlaps of one document, whose tokens are ``tokens[start:end]``."""
-        for k, diagonal in zip(items.tolist(), diagonals.tolist(), strict=True):
+            found += _pairs(h[maybe], maybe, self.hashes, self.items, self.places)
+        for width, (hashes, items, places) in self.short.items():
+            h = seeds(tokens, "1" * width)
+            found += _pairs(h, np.arange(len(h)), hashes, items, places)
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return both >> _ITEM_BITS, (both & (1 << _ITEM_BITS) - 1) - _ZERO
+
+    def overlaps(self, tokens: np.ndarray, items: np.ndarray, diagonals: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple]:
+        """Verified overlaps: number of the hit, item, first and end token, equal tokens, tokens of the item.
+
+        Each hit is held against ``tokens[low:high]``, all hits of an item at once.
+        """
+        order = np.argsort(items, kind="stable")
+        edges = np.flatnonzero(np.diff(items[order], prepend=-1, append=-1))
+        for a, b in zip(edges, edges[1:], strict=False):
+            k = int(items[order[a]])
             item = self.tokens[k]
-            a, b = max(diagonal, start), min(diagonal + len(item), end)
-            if a >= b:
-                continue
-            equal = tokens[a:b] == item[a - diagonal : b - diagonal]
-            for stretch in (best_stretch, widest_stretch):
-                x, y = stretch(equal)
-                n = int(equal[x:y].sum())
-                if n >= min(LEAST_TOKENS, len(item)) and n >= LEAST_SHARE * (y - x):
-                    yield self.ids[k], a + x, a + y, n, len(item)
-                    break
+            least = least_equal(len(item))
+            step = max(1, TABLE // len(item))
+            for at in range(a, b, step):
+                hits = order[at : min(at + step, b)]
+                place = diagonals[hits, None] + np.arange(len(item))
+                inside = (place >= low[hits, None]) & (place < high[hits, None])
+                equal = inside & (tokens[np.where(inside, place, 0)] == item)
+                some = equal.sum(1) >= least
+                hits, equal = hits[some], equal[some]
+                if not len(hits):
+                    continue
+                start, end, n = best_stretches(equal)
+                for i in np.flatnonzero((n < least) | (n < LEAST_SHARE * (end - start))).tolist():
+                    start[i], end[i] = widest_stretch(equal[i])
+                    n[i] = equal[i, start[i] : end[i]].sum()
+                good = (n >= least) & (n >= LEAST_SHARE * (end - start))
+                first = diagonals[hits] + start
+                for hit, x, y, m in zip(*(v[good].tolist() for v in (hits, first, first + end - start, n)), strict=True):
+                    yield hit, self.ids[k], x, y, m, len(item)
+
+
+def least_equal(item_tokens: int) -> int:
+    """Equal tokens that an overlap with an item of this length needs."""
+    return item_tokens if item_tokens < LEAST_ITEM else min(LEAST_TOKENS, math.ceil(LEAST_SHARE * item_tokens - 1e-9))
 
 
 OVERLAPS = "doc_id long, row long, item_id long, first_byte long, end_byte long, n_equal int, n_tokens int, item_tokens int"
@@ -207,9 +254,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Each verified overlap of ``docs(doc_id, text)`` with ``benchmark(item_id, text)``.
 
     ``first_byte`` and ``end_byte`` bound it in the UTF-8 text; ``row`` is the
-    text's hash, which tells texts with one doc_id apart.  Items of fewer tokens
-    than a seed must occur whole; items without tokens and null texts match
-    nothing.  Repeated rows repeat their overlaps, repeated items too.
+    text's hash, which tells texts with one doc_id apart.  Items of under 8 tokens
+    must occur whole, of under 15 with 0.8 of their tokens; items without tokens and
+    null or empty texts match nothing; of equally good stretches of a diagonal the
+    last counts.  Repeated rows repeat their overlaps, repeated items too; texts
+    and items of any length are read whole; other columns are ignored.
     """
     some = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     return reduce(DataFrame.union, [_overlaps_with(some, part) for part in _slices(benchmark)] or [_overlaps_with(some, [])])
@@ -241,16 +290,37 @@ def _found(bench: Benchmark, texts: list[bytes]) -> Iterator[tuple]:
     low = np.searchsorted(edges, np.maximum(diagonals, 0), side="right") - 1
     high = np.minimum(np.searchsorted(edges, diagonals + length[items], side="left"), len(texts))
     times = np.maximum(high - low, 0)
-    for d, k, x in zip(range_of(low, times).tolist(), np.repeat(items, times).tolist(), np.repeat(diagonals, times).tolist(), strict=True):
-        for item, a, b, n, total in bench.overlaps(tokens, edges[d], edges[d + 1], np.array([k]), np.array([x])):
-            yield d, item, int(first[a] - starts[d]), int(end[b - 1] - starts[d]), n, b - a, total
+    doc = range_of(low, times)
+    items, diagonals = np.repeat(items, times), np.repeat(diagonals, times)
+    found = bench.overlaps(tokens, items, diagonals, edges[doc], edges[doc + 1])
+    for hit, item, a, b, n, total in found:
+        d = int(doc[hit])
+        yield d, item, int(first[a] - starts[d]), int(end[b - 1] - starts[d]), n, b - a, total
+
+
+#: The last index that this worker has built, by the name of its rows.
+_built: dict[str, Benchmark] = {}
+
+
+def _shared(spark: SparkSession, rows: list[tuple[int, bytes]]) -> Broadcast:
+    """The rows and a name of theirs, on every executor."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+
+def _index_of(shared: Broadcast) -> Benchmark:
+    """The index of shared rows, built once in each worker."""
+    name, rows = shared.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = Benchmark(rows)
+    return _built[name]
 
 
 def _overlaps_with(some: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
-    shared = some.sparkSession.sparkContext.broadcast(rows)
+    shared = _shared(some.sparkSession, rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shared.value)
+        bench = _index_of(shared)
         names = [x.split()[0] for x in OVERLAPS.split(", ")]
         kinds = [*[pa.int64()] * 5, *[pa.int32()] * 3]
         for batch in batches:
@@ -266,7 +336,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that overlap: ``(doc_id, item_id, n_overlaps, n_equal, share)``.
 
     ``n_equal`` is the largest number of equal tokens of one overlap, ``share``
-    its part of the item's tokens.
+    its part of the item's tokens.  Rows with equal ids count as one document;
+    empty tables, texts and items give no rows.
     """
     found = overlaps(docs, benchmark)
     return found.groupBy("doc_id", "item_id").agg(
@@ -276,17 +347,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap an item, with their columns; a filter where they lie, without a shuffle."""
+    """``docs`` without the documents that overlap an item, with their columns; a filter where they lie, without a shuffle.
+
+    Rows with null or empty texts stay; repeated rows stay or go alike.
+    """
     for rows in _slices(benchmark):
         docs = _without(docs, rows)
     return docs
 
 
 def _without(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    shared = _shared(docs.sparkSession, rows)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shared.value)
+        bench = _index_of(shared)
         for batch in batches:
             for part in chunks(batch):
                 clean = np.ones(part.num_rows, bool)
