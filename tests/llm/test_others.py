@@ -494,6 +494,34 @@ def test_url_filter_runs_no_python(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'x = "' + '\\"' * 500_000, "password = '" + "\\'" * 300_000 + '"', "x = " + '("a1b2c3d4", ' * 60_000 + ")" * 60_000, "a" + " = a" * 200_000 + ' = "q1w2e3r4t5"',
+        "".join(f"n{i} = " for i in range(30_000)) + "(" + ", ".join(f"m{i}" for i in range(30_000)) + ")", "token =" + " " * 1_000_000, '"' * 700_001, "password: " * 100_000,
+        "\n" * 1_000_000, "x = [\n" * 100_000, "a = b\n" * 100_000, "0123456789abcdef" * 60_000,
+    ],
+    ids=range(12),
+)
+def test_hostile_texts_cost_their_length(text):
+    began = time.perf_counter()
+    secrets.lexed(text)
+    secrets.base_spans(text)
+    assert time.perf_counter() - began < 5
+
+
+def test_a_quote_that_does_not_close_hides_nothing_after_it():
+    for text in ("don't set password = \"q1w2e3r4t5y6\"", '5" disk; secret = \'q1w2e3r4t5y6\'', "it's `so\nsecret = 'q1w2e3r4t5y6'"):
+        assert [text[a:b] for a, b in secrets.lexed(text)] == ["q1w2e3r4t5y6"]
+
+
+def test_scanning_nothing_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2", "x", 3), (1, "password = hunter2hunter2", "x", 3)], "doc_id long, text string, spans string, n_hex int")
+    got = secrets.scan(docs).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["n_assign"] == 1 and got[0]["n_hex"] == 0
+    assert secrets.scan(docs.limit(0)).collect() == []
+
+
 # --- pages ------------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

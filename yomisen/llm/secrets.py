@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,15 +38,38 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is the same as a run, tested for its length
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
-_TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
-      | (?P<op>:=|=>|(?<![=!<>])=(?!=)|:)
+#: How a literal is written in each kind of quotes.
+_STRINGS = {'"': r'"(?:[^"\\\n]|\\.)*"', "'": r"'(?:[^'\\\n]|\\.)*'", "`": r"`[^`\n]*`"}
+
+
+_OTHER = r"""(?P<op>:=|=>|(?<![=!<>])=(?!=)|:)
       | (?P<plus>\+)
       | (?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]*)
       | (?P<bare>[A-Za-z0-9+/_.=~!@%^&*\-]{8,})
-      | (?P<end>[\n;,{}()\[\]])""",
-    re.X,
-)
+      | (?P<end>[\n;,{}()\[\]])"""
+
+
+@lru_cache
+def _token_pattern(quotes: str) -> re.Pattern:
+    """Tokens of a line in which only these quotes still close; one that doesn't is ``loose``."""
+    strings = [f"(?P<string>{'|'.join(_STRINGS[q] for q in quotes)})"] if quotes else []
+    loose = [f"(?P<loose>[{quotes}])"] if quotes else []
+    return re.compile("|".join([*strings, _OTHER, *loose]), re.X)
+
+
+def tokens(line: str) -> Iterator[re.Match]:
+    """The tokens of a line.  Where one quote doesn't close, no later one of its kind does, so none is tried again."""
+    quotes, at = "".join(_STRINGS), 0
+    while True:
+        for m in _token_pattern(quotes).finditer(line, at):
+            if m.lastgroup == "loose":
+                quotes, at = quotes.replace(m.group(), ""), m.end()
+                break
+            yield m
+        else:
+            return
+
+
 #: Parts of a target's name and how strongly they speak for a secret.
 SENSITIVE = {
     "password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3,
@@ -88,7 +112,8 @@ def literal_score(name_score: int, value: str) -> float:
     return name_score + min(entropy(value), 4) / 2 + (mixed >= 2) * 0.5
 
 
-Pair = tuple[str, list[tuple[str, int, int]], list[str]]
+#: Names that get a value, its literals with their places, and the names of other values in it.
+Pair = tuple[list[str], list[tuple[str, int, int]], list[str]]
 
 
 class _Place:
@@ -102,13 +127,27 @@ class _Place:
         self.targets: list[str] = []  # the names that get the value, once an operator was read
         self.op = ""
         self.last: list[str] = []  # the names that a following operator would assign to
-        self.end = -1  # where they end
+        self.end = -1  # where in the text they end
         self.literals: list[tuple[str, int, int]] = []
+        self.inner: list[tuple[str, int, int]] = []  # those of brackets within
         self.names: list[str] = []
 
     def pairs(self) -> Iterator[Pair]:
-        for target in self.targets:
-            yield target, self.literals, self.names
+        if self.targets:
+            yield self.targets, self.literals + self.inner, self.names
+
+    def take(self, place: _Place) -> None:
+        """What a place within holds is part of the value; the shorter lists are moved, so that nesting costs no more."""
+        kept = [x for x in place.literals if not _is_a_key(x[0])]
+        self.inner = _joined(self.inner, _joined(place.inner, kept))
+        self.names = _joined(self.names, place.names)
+
+
+def _joined(a: list, b: list) -> list:
+    """Both in one of them, which are then no one else's."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    long += short
+    return long
 
 
 class _Reader:
@@ -127,8 +166,7 @@ class _Reader:
         """Ends the innermost argument; one that assigns nothing is part of the value around it."""
         place = self.places[-1]
         if len(self.places) > 1 and not place.targets and place.kind == "group":
-            self.places[-2].literals += [x for x in place.literals if not _is_a_key(x[0])]
-            self.places[-2].names += place.names
+            self.places[-2].take(place)
         yield from place.pairs()
         place.clear()
 
@@ -142,11 +180,9 @@ class _Reader:
 
     def line(self, line: str, at: int) -> Iterator[Pair]:
         first, carried = True, self.open
-        for place in self.places:
-            place.end = -1  # of this line
         if carried and not line.strip():
             yield from self.close()
-        for m in _TOKEN.finditer(line):
+        for m in tokens(line):
             kind, value, place = m.lastgroup, m.group(), self.places[-1]
             if first and carried and len(self.places) == 1 and kind != "plus" and not (self.goes_on and (kind == "string" or value == "(")):
                 yield from self.close()
@@ -162,11 +198,11 @@ class _Reader:
             elif kind == "plus":
                 self.goes_on = bool(place.targets or len(self.places) > 1)
             elif kind == "end":
-                yield from self._bracket(value, m.start(), line)
+                yield from self._bracket(value, m.start(), line, at)
             else:
                 self._value(kind, value, m, line, at, carried)
         place = self.places[-1]
-        self.goes_on = self.goes_on or bool(place.targets and not place.literals and not place.names and place.kind == "line")
+        self.goes_on = self.goes_on or bool(place.targets and not place.literals and not place.inner and not place.names and place.kind == "line")
         if len(self.places) == 1 and not place.targets:
             yield from self.close()
 
@@ -175,33 +211,33 @@ class _Reader:
         if place.kind == "subscript" or not place.last:
             return
         if not place.targets:
-            place.targets, place.literals, place.names = place.last, [], []
-        elif place.names and not place.literals:
+            place.targets, place.literals, place.inner, place.names = [*place.last], [], [], []
+        elif place.names and not place.literals and not place.inner:
             if op == ":":
-                place.targets = place.last  # key: key2: literal
+                place.targets = [*place.last]  # key: key2: literal
             elif place.op != ":":
-                place.targets = [*place.targets, *place.last]  # a = b = "literal"
+                place.targets += place.last  # a = b = "literal"
             place.names = []  # else name: type = "literal"
         else:
             return
         place.op, place.last = op, []
         self.goes_on = True
 
-    def _bracket(self, value: str, start: int, line: str) -> Iterator[Pair]:
+    def _bracket(self, value: str, start: int, line: str, at: int) -> Iterator[Pair]:
         place = self.places[-1]
         valued = place.targets or len(self.places) > 1
-        touches = place.end == start
+        touches = place.end == at + start
         if value == "[" and not valued and place.last and (touches or line[start + 1 : start + 2] == "]"):
             self.key = []
         elif value == "]" and self.key is not None:
             place.last, self.key = self.key or place.last, None
-            place.end = start + 1
+            place.end = at + start + 1
         elif value in "([" and valued:
             self.places.append(_Place("subscript" if value == "[" and touches else "group"))
         elif value in ")]" and len(self.places) > 1:
             yield from self._shut()
             self.places.pop()
-            self.places[-1].end = start + 1
+            self.places[-1].end = at + start + 1
         elif value == "," and len(self.places) > 1:
             yield from self._shut()
         else:
@@ -219,12 +255,12 @@ class _Reader:
             else:
                 place.names.append(value)
         if kind == "name":
-            typed = value in TYPES and place.last and not place.targets and not line[place.end : m.start()].strip(" \t*&[]")
+            typed = value in TYPES and place.last and not place.targets and not line[max(place.end - at, -1) : m.start()].strip(" \t*&[]")
             if not typed:  # name type = "literal"
                 place.last = [value]
         elif kind == "string":
             place.last = [value[1:-1]] if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$.\-]*", value[1:-1]) else []
-        place.end = m.end()
+        place.end = at + m.end()
 
 
 def _is_a_key(value: str) -> bool:
@@ -233,7 +269,7 @@ def _is_a_key(value: str) -> bool:
 
 
 def pairs(text: str) -> Iterator[Pair]:
-    """``(name, literals with their places, names of other values)`` of each assignment."""
+    """``(names, literals with their places, names of other values)`` of each assignment."""
     at, reader = 0, _Reader()
     for line in text.split("\n"):
         if reader.open or MAY_ASSIGN.search(line):
@@ -245,26 +281,25 @@ def pairs(text: str) -> Iterator[Pair]:
 def lexed(text: str) -> list[tuple[int, int]]:
     """Places of the literals that sensitive names get, directly or by way of other names."""
     found = list(pairs(text))
-    if not found:
-        return []
     score: dict[str, int] = {}
-    takes: dict[str, set[str]] = {}
-    for name, _, names in found:
-        score[name] = max(score.get(name, 0), sensitivity(name))
-        takes.setdefault(name, set()).update(names)
+    gets: dict[str, list[int]] = {}  # the assignments to each name
+    for i, (targets, _, _) in enumerate(found):
+        for name in targets:
+            if name not in score:
+                score[name] = sensitivity(name)
+            gets.setdefault(name, []).append(i)
+    of = [0] * len(found)  # the score of each assignment: of the most sensitive name that gets it, at length
     queue = [n for n in score if score[n] >= 2]
     while queue:  # a sensitive name makes what it takes its value from sensitive
         name = queue.pop()
-        for source in takes.get(name, ()):
-            if source in score and score[source] < score[name]:
-                score[source] = score[name]
-                queue.append(source)
-    out = {
-        (a, b)
-        for name, literals, _ in found
-        for value, a, b in literals
-        if literal_score(score[name], value) >= LEAST_SCORE
-    }
+        for i in gets[name]:
+            if of[i] < score[name]:
+                of[i] = score[name]
+                for source in found[i][2]:
+                    if source in score and score[source] < score[name]:
+                        score[source] = score[name]
+                        queue.append(source)
+    out = {(a, b) for i, (_, literals, _) in enumerate(found) for value, a, b in literals if literal_score(of[i], value) >= LEAST_SCORE}
     return sorted(out)
 
 
