@@ -354,9 +354,11 @@ def test_keep_good_keeps_columns_and_clean_documents(training):
     assert len(good & ids) >= 0.97 * len(good) and len(ids - good) <= 0.1 * len(good)
 
 
-def test_forward_backward_is_the_sum_over_all_labellings():
+@pytest.mark.parametrize("block", [1, 2, 3, 256])
+def test_forward_backward_is_the_sum_over_all_labellings(block, monkeypatch):
     from itertools import product
 
+    monkeypatch.setattr(quality, "BLOCK", block)
     rng = np.random.default_rng(0)
     first = np.array([0, 3, 4, 8])
     score, pairs = rng.normal(size=8), rng.normal(size=(2, 2))
@@ -375,6 +377,14 @@ def test_forward_backward_is_the_sum_over_all_labellings():
     assert np.allclose(bad, want) and np.allclose(counts, seen)
 
 
+def test_long_texts_of_many_lines_cost_their_length():
+    rows = [(f"Some good words here, and a full stop {i}.", 1) for i in range(20)] + [(f"BUY!!! $$$ @@ {i} ###", 0) for i in range(20)]
+    model = quality.train(rows, {0: 20, 1: 20})
+    began = time.perf_counter()
+    scores, _ = quality.score_texts([b"\n" * 1_000_000, b"a good line.\n" * 80_000, b"word " * 200_000], model)
+    assert time.perf_counter() - began < 10 and ((scores >= 0) & (scores <= 1)).all()
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------------
 
 

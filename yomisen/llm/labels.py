@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Bytes of the longest text that is taken for training, so that a sample fits the driver; scoring has no such bound.
-LONGEST = 1 << 16
-
-
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -20,7 +16,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column,
 
     ``train`` is a condition on ``doc_id`` that training rows meet.  The rows are
     those with the least hash of the id, so they don't depend on order or size;
-    null labels, rows without a document and texts over ``LONGEST`` bytes are left out.
+    null labels and rows without a document are left out; of rows with one doc_id the least text counts.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & train).distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -32,7 +28,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column,
     if not ids:
         return [], counts
     few = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST).join(F.broadcast(few), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     rows = sorted((r["doc_id"], r["text"]) for r in rows)
     return [(text, ids[i]) for i, text in rows], counts

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, joined_buffer, texts_of, unused
+from .common import chunks, joined_buffer, range_of, texts_of, unused
 from .decontaminate import token_hashes
 from .labels import crc32_of_id, training_rows
 
 PER_CLASS = 600
 STEPS = 120
 ROUNDS = 2
+#: Lines of a chain that are walked one after another.
+BLOCK = 256
 
 _CLASSES = np.zeros((5, 256), np.int32)
 _CLASSES[0, 65:91] = 1  # capitals
@@ -81,38 +83,60 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate([own, above, below, edge_up[:, None], edge_down[:, None], bias], 1), length, first
 
 
-def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
+def _walk(emit: np.ndarray, pairs: np.ndarray, at: np.ndarray, n: np.ndarray, before: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Forward messages (in logarithms) of runs of lines, side by side; ``before`` is that of the line before each run that doesn't begin a chain."""
+    out = np.zeros_like(emit)
+    order = np.argsort(-n, kind="stable")
+    at, n, before, begins = at[order], n[order], before[order], begins[order]
+    live = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")  # runs longer than t
+    for t, k in enumerate(live.tolist()):
+        here = at[:k] + t
+        if t:
+            before = out[here - 1]
+        step = np.stack([np.logaddexp(before[:k, 0] + pairs[0, y], before[:k, 1] + pairs[1, y]) for y in (0, 1)], 1)
+        out[here] = emit[here] + (np.where(begins[:k, None], 0, step) if t == 0 else step)
+    return out
+
+
+def forward(emit: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Forward messages of many chains of lines, in logarithms.
+
+    Chains are cut into blocks, whose lines are walked side by side.  What a block
+    makes of either label before it is found first; then messages go from block to
+    block, then through the blocks: a chain of n lines takes n / BLOCK + 2 * BLOCK steps.
+    """
+    n = np.diff(first)
+    pieces = -(-n // BLOCK)
+    number = range_of(np.zeros(len(n), np.int64), pieces)
+    at = np.repeat(first[:-1], pieces) + number * BLOCK
+    size = np.minimum(BLOCK, np.repeat(first[1:], pieces) - at)
+    begins = number == 0
+    before = np.zeros((len(at), 2))
+    if len(number) and number.max():
+        ends = at + size - 1
+        through = [_walk(emit, pairs, at, size, np.broadcast_to([0.0, -np.inf][:: 1 - 2 * y], (len(at), 2)), begins)[ends] for y in (0, 1)]
+        before[begins] = [0.0, -np.inf]
+        by_number = np.argsort(number, kind="stable")
+        edges = np.searchsorted(number[by_number], np.arange(1, number.max() + 2))
+        for a, b in zip(edges, edges[1:], strict=False):
+            here = by_number[a:b]
+            last = before[here - 1]
+            before[here] = np.logaddexp(last[:, :1] + through[0][here - 1], last[:, 1:] + through[1][here - 1])
+    return _walk(emit, pairs, at, size, before, begins)
 
 
 def forward_backward(score: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of label 1 (bad) at each line, and the expected counts of neighbouring labels (2 x 2), over many chains at once.
 
     ``score`` has each line's score of label 1 over label 0, ``pairs`` the score
-    of a label after another.  Chains are walked side by side, longest first.
+    of a label after another.
     """
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    at, n = first[:-1][order], n[order]
-    longest = int(n[0]) if len(n) else 0
     emit = np.stack([np.zeros(len(score)), score], 1)
-    alpha, beta = np.zeros((len(score), 2)), np.zeros((len(score), 2))
-    live = np.searchsorted(-n, -np.arange(longest), side="left")  # chains longer than t
-    for t in range(longest):
-        here = at[: live[t]] + t
-        if t == 0:
-            alpha[here] = emit[here]
-            continue
-        before = alpha[here - 1]
-        for y in (0, 1):
-            alpha[here, y] = emit[here, y] + _log_add(before[:, 0] + pairs[0, y], before[:, 1] + pairs[1, y])
-    for t in range(longest - 2, -1, -1):
-        here = at[: live[t + 1]] + t
-        after = beta[here + 1] + emit[here + 1]
-        for y in (0, 1):
-            beta[here, y] = _log_add(after[:, 0] + pairs[y, 0], after[:, 1] + pairs[y, 1])
+    alpha = forward(emit, pairs, first)
+    # backward is forward from the other end; it counts the line itself too
+    beta = forward(emit[::-1], pairs.T, len(score) - first[::-1])[::-1] - emit
     whole = alpha + beta
-    total = _log_add(whole[:, 0], whole[:, 1])
+    total = np.logaddexp(whole[:, 0], whole[:, 1])
     bad = np.exp(whole[:, 1] - total)
     inner = np.ones(len(score), bool)
     inner[first[:-1]] = False
@@ -246,7 +270,11 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with their columns.
+
+    Null and empty texts score as texts of one empty line; a score of just
+    ``threshold`` stays; repeated rows stay or go alike; without labels all stay.
+    """
     score, bad = unused(docs, "score"), unused(docs, "bad_lines")
     scored = _scored(docs, learn(docs, labels, ~held_out()), score, bad)
     return scored.where(F.col(score) >= threshold).drop(score, bad)
