@@ -20,10 +20,10 @@ def _entry(number: int, kanji: str, readings: str, *senses: tuple) -> tuple:
 
 #: Forms with an exclamation mark have a priority marker.
 ENTRIES = [
-    _entry(1000010, "言う!", "いう! ゆう", ("v5u vt", ["to say", "to utter"])),
+    _entry(1000010, "洗う!", "あらう!", ("v5u vt", ["to wash", "to rinse"])),
     _entry(1000020, "読む!", "よむ!", ("v5m vt", ["to read"])),
     _entry(1000025, "話す", "はなす", ("v5r vt", ["to speak"])),
-    _entry(1000030, "", "は", ("prt", ["topic marker"])),
+    _entry(1000030, "", "も", ("prt", ["also", "too"])),
     _entry(1000035, "", "を!", ("prt", ["object marker"])),
     _entry(1000040, "本!", "ほん!", ("n", ["book"])),
     _entry(1000045, "本", "ほん", ("ctr", ["counter for long things"])),
@@ -32,19 +32,19 @@ ENTRIES = [
     _entry(1000060, "来る!", "くる!", ("vk vi", ["to come"])),
     _entry(1000070, "", "する!", ("vs-i", ["to do"])),
     _entry(1000080, "勉強!", "べんきょう!", ("n vs", ["study"])),
-    _entry(1000090, "高い!", "たかい!", ("adj-i", ["high", "expensive"])),
+    _entry(1000090, "良い!", "よい! いい", ("adj-i", ["good", "fine"])),
     _entry(1000100, "東京!", "とうきょう!", ("n", ["Tokyo"])),
     _entry(1000110, "京都", "きょうと", ("n", ["Kyoto"])),
     _entry(1000120, "都", "と", ("n suf", ["metropolis"])),
     _entry(1000130, "三!", "さん!", ("num", ["three"])),
-    _entry(1000140, "", "ラーメン!", ("n", ["noodle soup"])),
+    _entry(1000140, "", "バナナ!", ("n", ["banana"])),
     _entry(1000150, "静か", "しずか", ("adj-na", ["quiet"])),
     _entry(1000160, "", "ホン", ("n", ["phon"])),
 ]
 
 SENTENCES = [
-    (0, "本を読みました"), (1, "東京都は高い"), (2, "言わなかった"), (3, "来た"), (4, "勉強しました"), (5, "三本のラーメンを食べる"),
-    (6, "ホンは本"), (7, ""), (8, "abc 12"), (9, "高くなかった本を話せます"), (10, "静かな東京"), (11, "３ 本読ませられた"), (12, "来られる々"),
+    (0, "本も読みました"), (1, "東京都も良い"), (2, "洗わなかった"), (3, "来た"), (4, "勉強しました"), (5, "三本のバナナを食べる"),
+    (6, "ホンも本"), (7, ""), (8, "abc 12"), (9, "良くなかった本を話さない"), (10, "静かな東京"), (11, "３ 本読ませられた"), (12, "来られる々"),
     (13, "ほんをよむ"), (14, "食べさせられたかった"),
 ]
 
@@ -77,6 +77,11 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(duck, r)) + ")" for r in rows) + ")"
 
 
+def duck_senses() -> str:
+    """``senses(id, i, pos, glosses)``, i from 1."""
+    return values("senses", "id, i, pos, glosses", [(e[0], i, s[0], s[1]) for e in ENTRIES for i, s in enumerate(e[3], 1)])
+
+
 def duck_entries() -> str:
     """The dictionary as two tables: forms in order, and parts of speech and misc codes by entry."""
     forms = [

@@ -161,7 +161,7 @@ _D_ROMAJI = f"""
         WHEN s.k = 'ン' AND regexp_matches(coalesce(left(s.nxt, 1), ''), '{romaji.AFTER_N}') THEN 'n''' ELSE coalesce(p.v, s.c) END AS v
         FROM spoken s LEFT JOIN plain p ON p.k = s.k LEFT JOIN doubled d ON d.k = left(s.nxt, 1)),
     joined AS (SELECT id, string_agg(v, '' ORDER BY i) AS romaji FROM written GROUP BY id)"""
-_KANA = ["かった", "いっぱい", "マッチャ", "しんあい", "かんゆ", "かんじ", "ラーメン", "っア", "言う", "ッ", "ヴェ", "きゃっちゃ", "ん", "ゕ", "ティッシュ", "ちょっと", "は", "へ", "ちゃ", "こんにちは"]
+_KANA = ["きって", "ざっし", "ボッチャン", "きんえん", "こんや", "さんぽ", "コーヒー", "あっえ", "書く", "ッ", "ヴィ", "しゅっちょう", "ん", "ゎ", "フォーク", "りょっか", "は", "へ", "ちゃ", "こんばんは"]
 
 
 @query(
