@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags as fl
@@ -122,6 +122,11 @@ def tooltip(segs: DataFrame) -> DataFrame:
     return segs.where("matched").select("doc_id", "start", F.array_join(F.transform("entries", block), "\n").alias("tooltip"))
 
 
+def segment_at(segs: DataFrame, start: int) -> DataFrame:
+    """The segment of each text that begins at a place, if one does."""
+    return segs.where(F.col("start") == start)
+
+
 def chip_class(segs: DataFrame) -> DataFrame:
     """How a segment is shown: by its primary entry's flags, else by its writing."""
     flags = F.get("entries", F.lit(0))["flags"]
@@ -183,9 +188,3 @@ def coloured(tooltips: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return tooltips.select("doc_id", "start", "tooltip").mapInArrow(run, "doc_id long, start int, line int, run int, text string, kind string")
-
-
-def newest_of_duplicates(entries: DataFrame) -> DataFrame:
-    """Entries whose number occurs more than once: numbers must be unique."""
-    n = F.count("*").over(Window.partitionBy("id"))
-    return entries.withColumn("n", n).where("n > 1").drop("n")

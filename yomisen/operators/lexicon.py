@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import flags as fl
 from ..functions.kana import strip_suffix_unified, unify
 from ..plans.grammar import Grammar
+from .matching import key_lengths, key_prefixes, probes
 
 #: Parts of speech behind the particle and counter flags.
 PARTICLE_POS, COUNTER_POS, ARCHAIC = ("prt", "conj"), ("ctr", "suf"), "arch"
@@ -119,9 +120,8 @@ def needed_entries(entries: DataFrame, texts: DataFrame, grammar: Grammar) -> Da
     cut = heads.where(conjugable).join(F.broadcast(ends), F.endswith(key, F.col("ending")))
     cut = cut.select("entry_id", F.substring(key, F.lit(1), F.length(key) - F.length("ending")).alias("key"))
     wanted = own.union(cut).distinct()
-    lengths = sorted(r[0] for r in wanted.select(F.length("key")).distinct().collect())  # as many as the longest form has characters
-    folded = texts.select(unify(F.col("text")).alias("u"))
-    grams = folded.select("u", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where("n > 0 AND n <= length(u)")
-    grams = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("u") - F.col("n") + 1), lambda i: F.substring(F.col("u"), i, F.col("n")))).alias("key")).distinct()
+    keys = wanted.withColumn("key_chars", F.length("key")).where("key <> ''")
+    lengths = key_lengths(keys)
+    grams = probes(texts, lengths, prefixes=key_prefixes(keys, lengths)).select("key").distinct()
     found = wanted.join(grams, "key", "left_semi").union(wanted.where("key = ''").select("key", "entry_id")).select("entry_id").distinct()
     return entries.join(found, entries["id"] == found["entry_id"], "left_semi")

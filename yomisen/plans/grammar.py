@@ -154,8 +154,12 @@ def closure_sql(spark: bool) -> str:
 def closure(grammar: Grammar) -> DataFrame:
     """``paths(type_id, suffix_raw, suffix_key, n_chars, chain, ord)``; see :func:`closure_sql`."""
     spark = grammar.edges.sparkSession
-    grammar.edges.createOrReplaceTempView("grammar_edges")
-    return spark.sql(closure_sql(True))
+    return spark.sql(closure_sql(True).replace("grammar_edges WHERE", "{edges} AS grammar_edges WHERE").replace("JOIN grammar_edges e", "JOIN {edges} e"), edges=grammar.edges)
+
+
+def counts(grammar: Grammar) -> DataFrame:
+    """One row: types, rows and linked rows of the grammar."""
+    return grammar.edges.agg(F.countDistinct("type_id").alias("types"), F.count("*").alias("rows_"), F.count("next_type").alias("linked"))
 
 
 def twins(grammar: Grammar) -> DataFrame:

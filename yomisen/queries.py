@@ -241,7 +241,9 @@ def dict_xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT 1::BIGINT AS skipped")
+@query(
+    "WITH " + fx.values("x", "ent_seq", [*((str(e[0]),) for e in fx.ENTRIES), ("none",)]) + " SELECT count(*) FILTER (try_cast(ent_seq AS BIGINT) IS NULL) AS skipped FROM x"
+)
 def dict_xml_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary_xml.entries_of_text(_xml_file(spark)).agg(dictionary_xml.count_skipped(F.col("ent_seq")).alias("skipped"))
 
@@ -307,7 +309,14 @@ _BROKEN = [
 ]
 
 
-@query("SELECT * FROM (VALUES (0, 'a', 2, 'b'), (1, 'b', 1, 'none')) t(type_id, name, conj, next_name)")
+_BROKEN_ROWS = [(i, t["Name"], j, x["Suffix"], x["Tense"], x.get("Next Type")) for i, t in enumerate(_BROKEN) for j, x in enumerate(t["Tenses"])]
+
+
+@query(
+    "WITH " + fx.values("r", "type_id, name, conj, suffix, tense, next_name", _BROKEN_ROWS)
+    + f""" SELECT type_id, name, conj, next_name FROM r WHERE next_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r e WHERE e.name = r.next_name AND e.tense = 'Remove'
+        AND length(r.suffix) >= length(e.suffix) AND right({d_unify('r.suffix')}, length(e.suffix)) = {d_unify('e.suffix')})"""
+)
 def grammar_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.resolve(grammar_json.rows_of(spark, json.dumps(_BROKEN, ensure_ascii=False)))[1]
 
@@ -532,15 +541,17 @@ def _dictionary(spark: SparkSession) -> parse.Dictionary:
     return _dictionary_of(_session(spark))
 
 
-D_LEXICON = f"""lex AS (SELECT {d_unify('surface')} AS key, length(surface) AS key_chars, surface, flags, NULL::INTEGER AS verb_type, entry_id FROM heads
-    UNION SELECT {d_unify('stem')}, length(stem), stem, flags, verb_type::INTEGER, entry_id FROM stems)"""
+D_LEXICON = f"""recs AS (SELECT surface, flags, NULL::INTEGER AS verb_type, entry_id, {{'seq': seq, 'form_ord': form_ord, 'stem_ord': []::BIGINT[]}} AS met FROM heads
+    UNION ALL SELECT stem, flags, verb_type::INTEGER, entry_id, {{'seq': seq, 'form_ord': form_ord, 'stem_ord': [pos_ord, annotated, verb_type]::BIGINT[]}} FROM stems),
+    lex AS (SELECT {d_unify('surface')} AS key, length(surface) AS key_chars, surface, flags, verb_type, entry_id, min(met) AS met FROM recs GROUP BY ALL)"""
 D_SENTENCES = fx.values("texts", "doc_id, text", fx.SENTENCES)
 D_CHAIN = "array_to_string(list_transform(chain, lambda c: concat_ws('.', c.verb_type, c.tense, c.form, c.conj)), ' ')"
 D_MATCHES = f"""places AS (SELECT doc_id, text, unnest(range(length(text))) AS i FROM texts),
     found AS (SELECT a.doc_id, a.text, a.i, l.*, {d_fold('substr(a.text, a.i::INTEGER + 1, l.key_chars::INTEGER)')} <> {d_fold('l.surface')} AS loose FROM places a JOIN lex l ON starts_with({d_unify('substr(a.text, a.i::INTEGER + 1)')}, l.key)),
-    every AS (SELECT doc_id, i AS start, key_chars AS len, key_chars AS src_len, surface, flags, entry_id, loose AS inexact, '' AS chain FROM found WHERE verb_type IS NULL
+    every AS (SELECT doc_id, i AS start, key_chars AS len, key_chars AS src_len, surface, flags, entry_id, loose AS inexact, '' AS chain, {{'n': key_chars, 'met': met, 'path': []::INTEGER[]}} AS ord, NULL::INTEGER AS conj0
+        FROM found WHERE verb_type IS NULL
       UNION ALL SELECT f.doc_id, f.i, f.key_chars + p.n_chars, f.key_chars, f.surface, f.flags, f.entry_id,
-        f.loose OR {d_fold('substr(f.text, (f.i + f.key_chars)::INTEGER + 1, p.n_chars::INTEGER)')} <> {d_fold('p.suffix_raw')}, {D_CHAIN}
+        f.loose OR {d_fold('substr(f.text, (f.i + f.key_chars)::INTEGER + 1, p.n_chars::INTEGER)')} <> {d_fold('p.suffix_raw')}, {D_CHAIN}, {{'n': f.key_chars, 'met': f.met, 'path': p.ord::INTEGER[]}}, p.chain[1].conj::INTEGER
         FROM found f JOIN paths p ON p.type_id = f.verb_type AND substr({d_unify('f.text')}, (f.i + f.key_chars)::INTEGER + 1, p.n_chars::INTEGER) = p.suffix_key)"""
 
 
@@ -556,7 +567,7 @@ def sentence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 D_ANALYSIS = f"""{D_HEADS}, {D_GRAMMAR}, {D_STEMS}, {D_LEXICON}, paths AS MATERIALIZED ({gr.closure_sql(False)}), {D_SENTENCES}, {D_MATCHES},
-    hits AS MATERIALIZED (SELECT e.doc_id, t.text, e.start, e.len, e.src_len, e.surface, e.flags, e.entry_id, e.chain, bool_and(e.inexact) AS inexact
+    hits AS MATERIALIZED (SELECT e.doc_id, t.text, e.start, e.len, e.src_len, e.surface, e.flags, e.entry_id, e.chain, e.conj0, bool_and(e.inexact) AS inexact, min(e.ord) AS ord
         FROM every e JOIN texts t USING (doc_id) WHERE e.len > 0 GROUP BY ALL),
     {D_COST}, {D_FOLD}, {D_SPANS}"""
 
@@ -574,28 +585,33 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _D_NAMED = fx.duck([*grammar_json.TENSES, *_OTHER_TENSES])
 
 
-@query(
-    f"""WITH RECURSIVE {D_ANALYSIS},
-    on_path AS (SELECT s.*, CASE WHEN s.flags & 32 <> 0 AND NOT s.after_number THEN s.flags & ~32 ELSE s.flags END AS shown,
+D_ALTERNATIVES = f"""on_path AS (SELECT s.*, CASE WHEN s.flags & 32 <> 0 AND NOT s.after_number THEN s.flags & ~32 ELSE s.flags END AS shown,
         try_cast(nullif(split_part(split_part(s.chain, ' ', 1), '.', 1), '') AS INTEGER) AS type0, split_part(split_part(s.chain, ' ', 1), '.', 2) AS tense0,
-        split_part(split_part(s.chain, ' ', 1), '.', 3) AS form0
+        split_part(split_part(s.chain, ' ', 1), '.', 3) AS form0, substr(s.text, (s.start + s.src_len)::INTEGER + 1, (s.len - s.src_len)::INTEGER) AS tail
         FROM scored s JOIN path_spans p ON p.doc_id = s.doc_id AND p.start = s.start AND p.len = s.len AND p.matched),
     counted AS (SELECT *, count(*) FILTER (chain <> '') OVER w AS n_verbs, count(*) FILTER (chain = '') OVER w AS n_plain, min(inexact) OVER w AS loose
         FROM on_path WINDOW w AS (PARTITION BY doc_id, start, len, entry_id)),
-    first_ends AS (SELECT type_id, arg_min(ending, conj) AS ending FROM ends GROUP BY type_id)
-    SELECT c.doc_id::BIGINT AS doc_id, c.start::INTEGER AS start, c.len::INTEGER AS len, c.entry_id, c.shown AS flags, c.loose AS inexact, c.surface || coalesce(f.ending, '') AS headword,
+    first_ends AS (SELECT type_id, arg_min(ending, conj) AS ending FROM ends GROUP BY type_id),
+    kept AS (SELECT c.*, c.surface || coalesce(f.ending, '') AS headword,
         nullif(array_to_string(list_filter(list_transform(string_split(c.chain, ' '), lambda l, i: concat_ws(' ',
             CASE WHEN try_cast(split_part(l, '.', 3) AS INTEGER) & 2 <> 0 THEN 'Negative' END, CASE WHEN try_cast(split_part(l, '.', 3) AS INTEGER) & 1 <> 0 THEN 'Formal' END,
             CASE WHEN split_part(l, '.', 2) <> '2' AND NOT (i > 1 AND split_part(l, '.', 2) = '1' AND (i > 2 OR c.tense0 <> '2'))
-                THEN ({_D_NAMED})[try_cast(split_part(l, '.', 2) AS INTEGER) + 1] END)), lambda w: w <> ''), ' '), '') AS conjugation
-    FROM counted c LEFT JOIN first_ends f ON f.type_id = c.type0
-    WHERE NOT (c.chain <> '' AND c.tense0 = '1' AND c.form0 = '0' AND c.n_verbs = 1 AND c.n_plain > 0)"""
+                THEN ({_D_NAMED})[try_cast(split_part(l, '.', 2) AS INTEGER) + 1] END)), lambda w: w <> ''), ' '), '') AS conjugation,
+        row_number() OVER (PARTITION BY doc_id, start, len ORDER BY loose, shown & {fl.IS_NAME} <> 0, shown & {fl.RANKED} DESC, entry_id,
+            coalesce(try_cast(form0 AS INTEGER), 0), coalesce(type0 + 1, 0), coalesce(try_cast(tense0 AS INTEGER), 0), ord) AS rank
+        FROM counted c LEFT JOIN first_ends f ON f.type_id = c.type0
+        WHERE NOT (c.chain <> '' AND c.tense0 = '1' AND c.form0 = '0' AND c.n_verbs = 1 AND c.n_plain > 0))"""
+
+
+@query(
+    f"""WITH RECURSIVE {D_ANALYSIS}, {D_ALTERNATIVES}
+    SELECT doc_id::BIGINT AS doc_id, start::INTEGER AS start, len::INTEGER AS len, rank::INTEGER AS rank, entry_id, shown AS flags, loose AS inexact, headword, conjugation FROM kept"""
 )
 def sentence_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark)
     ranks = p.ranked.select("doc_id", "start", "len", "rank", F.col("flags").alias("bits"), "inexact")
     out = p.alternatives.join(ranks, ["doc_id", "start", "len", "rank"])
-    return out.select("doc_id", "start", "len", "entry_id", F.col("bits").alias("flags"), "inexact", "headword", "conjugation")
+    return out.select("doc_id", "start", "len", "rank", "entry_id", F.col("bits").alias("flags"), "inexact", "headword", "conjugation")
 
 
 @query(
@@ -610,14 +626,15 @@ def conj_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.closure(g).select("type_id", F.array_join("ord", ".").alias("ord"), gr.conjugation_label(F.col("chain"), assemble.tense_array(g)).alias("label"))
 
 
-@query(
-    f"""WITH {D_GRAMMAR}, pairs AS (SELECT a.type_id, a.conj, b.type_id AS twin, b.suffix, length(a.suffix) AS n, length(b.suffix) AS m, b.conj AS bc
+D_TWINS = f"""pairs AS (SELECT a.type_id, a.conj, b.type_id AS twin, b.suffix, length(a.suffix) AS n, length(b.suffix) AS m, b.conj AS bc
         FROM grammar_edges a JOIN types ta ON ta.type_id = a.type_id JOIN types tb ON tb.name = ta.name AND tb.type_id <> ta.type_id JOIN grammar_edges b ON b.type_id = tb.type_id
         WHERE a.tense = b.tense AND a.form = b.form AND a.next_type IS NOT DISTINCT FROM b.next_type AND regexp_matches(a.suffix, '^{kana.IDEOGRAPH}') AND length(b.suffix) >= length(a.suffix)
             AND {d_unify('substr(a.suffix, 2)')} = {d_unify('substr(b.suffix, length(b.suffix) - length(a.suffix) + 2)')}),
-    best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY type_id, conj, twin ORDER BY m, bc) = 1)
-    SELECT type_id, conj, arg_min(left(suffix, (m - n + 1)::INTEGER), twin) AS substitution FROM best WHERE m - n + 1 <= 3 GROUP BY type_id, conj"""
-)
+    nearest AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY type_id, conj, twin ORDER BY m, bc) = 1),
+    twins AS (SELECT type_id, conj, arg_min(left(suffix, (m - n + 1)::INTEGER), twin) AS substitution FROM nearest WHERE m - n + 1 <= 3 GROUP BY type_id, conj)"""
+
+
+@query(f"WITH {D_GRAMMAR}, {D_TWINS} SELECT * FROM twins")
 def twin_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.twins(_grammar(spark))
 
@@ -626,54 +643,159 @@ def _parsed(spark: SparkSession, hints: DataFrame | None = None) -> parse.Parsed
     return parse.parse(fx.sentences(spark), _dictionary(spark), hints)
 
 
-@query()
+_D_SHOWN = ", ".join(f"CASE WHEN shown & {bit} <> 0 THEN '{n}' END" for n, bit in fl.FLAGS.items())
+_D_CUT = f"length(r.r) >= length(e.ending) AND (e.ending = '' OR right({d_unify('r.r')}, length(e.ending)) = {d_unify('e.ending')})"
+_D_ENTRY = "'headword': headword, 'reading': reading, 'conjugation': conjugation, 'pos': pos, 'senses': senses, 'flags': flags"
+#: Readings, then one row for each alternative and for each segment.
+D_RESULT = f"""{D_ANALYSIS}, {D_ALTERNATIVES}, {D_TWINS}, {fx.duck_senses()},
+    read_ AS (SELECT id AS entry_id, surface AS r, row_number() OVER (PARTITION BY id ORDER BY form_ord) AS r_ord FROM forms WHERE is_reading AND n_kanji > 0),
+    ways AS (SELECT k.doc_id, k.start, k.len, k.rank, {{'r_ord': r.r_ord, 'way': 0, 'twin': e.type_id, 'conj': e.conj}} AS way, left(r.r, length(r.r) - length(e.ending)) || k.tail AS reading
+        FROM kept k JOIN read_ r USING (entry_id) JOIN ends e ON e.type_id = k.type0 AND {_D_CUT}
+      UNION ALL SELECT k.doc_id, k.start, k.len, k.rank, {{'r_ord': r.r_ord, 'way': 1, 'twin': e.type_id, 'conj': e.conj}},
+        left(r.r, length(r.r) - length(e.ending)) || t.substitution || substr(k.tail, 2)
+        FROM kept k JOIN read_ r USING (entry_id) JOIN types y ON y.type_id = k.type0 JOIN twins t ON t.type_id = k.type0 AND t.conj = k.conj0
+            JOIN ends e ON e.name = y.name AND e.type_id <> k.type0 AND {_D_CUT} WHERE length(k.tail) >= 1),
+    verb_readings AS (SELECT doc_id, start, len, rank, arg_min(reading, way) AS verb_reading FROM ways GROUP BY ALL),
+    meanings AS (SELECT id AS entry_id, list({{'pos': s.pos, 'glosses': s.glosses, 'xrefs': []::VARCHAR[], 'misc': CASE WHEN i = 1 THEN c.misc ELSE []::VARCHAR[] END, 'info': []::VARCHAR[]}} ORDER BY i) AS senses
+        FROM senses s JOIN codes c USING (id) GROUP BY id),
+    alts AS (SELECT k.doc_id, k.start, k.len, k.rank::INTEGER AS rank, k.headword, k.conjugation, c.pos, m.senses, list_filter([{_D_SHOWN}], lambda n: n IS NOT NULL) AS flags,
+        CASE WHEN k.shown & {fl.PRONOUNCE} <> 0 THEN NULL WHEN k.chain = '' THEN f.r ELSE v.verb_reading END AS reading
+        FROM kept k JOIN codes c ON c.id = k.entry_id JOIN meanings m USING (entry_id) LEFT JOIN read_ f ON f.entry_id = k.entry_id AND f.r_ord = 1
+            LEFT JOIN verb_readings v ON v.doc_id = k.doc_id AND v.start = k.start AND v.len = k.len AND v.rank = k.rank),
+    segments AS MATERIALIZED (SELECT p.doc_id::BIGINT AS doc_id, p.start::INTEGER AS start, p.len::INTEGER AS len, any_value(substr(t.text, p.start::INTEGER + 1, p.len::INTEGER)) AS surface,
+        any_value(p.matched) AS matched, arg_min(a.reading, a.rank) FILTER (a.rank = 1) AS reading, coalesce(list({{{_D_ENTRY}}} ORDER BY a.rank) FILTER (a.rank IS NOT NULL), []) AS entries
+        FROM path_spans p JOIN texts t USING (doc_id) LEFT JOIN alts a ON a.doc_id = p.doc_id AND a.start = p.start AND a.len = p.len GROUP BY p.doc_id, p.start, p.len)"""
+
+
+def _entries_json() -> Column:
+    bare = F.transform("entries", lambda e: e.dropFields("rank"))
+    return F.to_json(bare, {"ignoreNullFields": "false"})
+
+
+@query(f"WITH RECURSIVE {D_RESULT} SELECT doc_id, start, len, surface, reading, matched, to_json(entries)::VARCHAR AS entries FROM segments")
 def parse_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parsed(spark)
-    return p.segments.select("doc_id", "start", "len", "surface", "reading", "matched", F.to_json("entries").alias("entries"))
+    return p.segments.select("doc_id", "start", "len", "surface", "reading", "matched", _entries_json().alias("entries"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {D_RESULT} SELECT doc_id, to_json({{'segments': list({{'start': start, 'len': len, 'surface': surface, 'reading': reading, 'matched': matched, 'entries': entries}}
+        ORDER BY start)}})::VARCHAR AS json FROM segments GROUP BY doc_id"""
+)
 def parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.result_json(_parsed(spark).segments)
 
 
-@query()
+_HINT_TOKENS = [(1, 0, 3, "n,,,,,,,トウキョウト"), (5, 0, 2, "n,,,,,,,サンボン")]
+D_HINTED = D_ANALYSIS.replace(
+    D_COST,
+    D_COST.replace("scored AS", "unhinted AS")
+    + ",\n" + fx.values("tokens", "doc_id, s, e, feature", _HINT_TOKENS)
+    + """, within AS (SELECT doc_id, unnest(range(s, e - 1)) AS p FROM tokens),
+    scored AS MATERIALIZED (SELECT u.* REPLACE (u.cost + CASE WHEN EXISTS (SELECT 1 FROM within w WHERE w.doc_id = u.doc_id AND w.p + 1 = u.start) THEN 10 ELSE 0 END
+        + CASE WHEN EXISTS (SELECT 1 FROM within w WHERE w.doc_id = u.doc_id AND w.p = u.start + u.len - 1) THEN 10 ELSE 0 END AS cost) FROM unhinted u)""",
+)
+
+
+@query(
+    f"""WITH RECURSIVE {D_HINTED} SELECT p.doc_id::BIGINT AS doc_id, p.start::INTEGER AS start, p.len::INTEGER AS len, p.matched,
+        substr(t.text, p.start::INTEGER + 1, p.len::INTEGER) AS surface FROM path_spans p JOIN texts t USING (doc_id)"""
+)
 def parse_with_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hints = segment.interior_hints(spark.createDataFrame([(1, 0, 3, "n,,,,,,,トウキョウト"), (5, 0, 2, "n,,,,,,,サンボン")], "doc_id long, tok_start int, tok_end int, feature string"))
+    hints = segment.interior_hints(spark.createDataFrame(_HINT_TOKENS, "doc_id long, tok_start int, tok_end int, feature string"))
     return _parsed(spark, hints).spans
 
 
-@query()
+_D_HEAD_LINE = "'start=' || start || ' len=' || len || ' ' || surface || CASE WHEN matched THEN ' matched reading=' || coalesce(reading, '-') ELSE ' unmatched' END"
+_D_ENTRY_LINE = "'    ' || e.headword || ' (' || coalesce(e.conjugation, '-') || ') [' || coalesce(e.reading, '-') || '] '"
+
+
+@query(
+    f"""WITH RECURSIVE {D_RESULT} SELECT doc_id, start, concat_ws(chr(10), {_D_HEAD_LINE},
+        nullif(array_to_string(list_transform(entries, lambda e: {_D_ENTRY_LINE} || array_to_string(e.senses[1].glosses, '; ')), chr(10)), '')) AS lines FROM segments"""
+)
 def parse_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.listing(_parsed(spark).segments)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {D_RESULT} SELECT doc_id, start, concat_ws(chr(10), {_D_HEAD_LINE},
+        nullif(array_to_string(list_transform(entries[1:1], lambda e: {_D_ENTRY_LINE} || e.senses[1].glosses[1]), chr(10)), ''),
+        CASE WHEN len(entries) > 1 THEN '    ... ' || (len(entries) - 1) || ' more' END) AS lines FROM segments"""
+)
 def parse_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.listing(_parsed(spark).segments, 5)
+    """With one alternative of each segment, so that some have more; the operator's own default shows five."""
+    return assemble.listing(_parsed(spark).segments, 1)
 
 
-@query()
+_D_LABELS = ", ".join(f"CASE WHEN l.flags & {bit} <> 0 THEN '{n}' END" for n, bit in fl.LOOKUP_LABELS)
+
+
+@query(
+    f"""WITH {D_HEADS}, {D_GRAMMAR}, {D_STEMS}, {D_LEXICON}, {D_SENTENCES}, {fx.duck_senses()}
+    SELECT t.doc_id::BIGINT AS doc_id, l.key_chars::INTEGER AS key_chars, l.surface, coalesce(y.name, '-') AS type, concat_ws(',', {_D_LABELS}) AS labels,
+        array_to_string(s.glosses, '; ') AS glosses
+    FROM texts t JOIN lex l ON length(t.text) > 0 AND starts_with({d_unify('t.text')}, l.key) LEFT JOIN types y ON y.type_id = l.verb_type JOIN senses s ON s.id = l.entry_id AND s.i = 1"""
+)
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dictionary(spark)
     return matching.lookup(fx.sentences(spark), d.lexicon, d.grammar.types, d.entries).drop("ord")
 
 
-@query()
+D_TOOLTIPS = f"""{D_RESULT}, tips AS (SELECT doc_id, start, array_to_string(list_transform(entries, lambda e: concat_ws(chr(10), chr(1) || e.conjugation, e.headword || coalesce('【' || e.reading || '】', ''),
+        array_to_string(list_transform(e.senses, lambda s, i: '(' || array_to_string(s.pos, ',') || ') (' || i || ') ' || array_to_string(s.glosses, '/')
+            || CASE WHEN list_contains(e.flags, 'common') AND i = len(e.senses) THEN '/(P)' ELSE '' END), chr(10)))), chr(10)) AS tooltip FROM segments WHERE matched)"""
+
+
+@query(f"WITH RECURSIVE {D_TOOLTIPS} SELECT * FROM tips")
 def tooltip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.tooltip(_parsed(spark).segments)
 
 
-@query()
+_D_KANA, _D_CJK = "\\x{3040}-\\x{30FF}", "\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}々"
+
+
+@query(
+    f"""WITH RECURSIVE {D_TOOLTIPS},
+    lines AS (SELECT doc_id, start, unnest(string_split(tooltip, chr(10))) AS l, unnest(range(len(string_split(tooltip, chr(10))))) AS line FROM tips),
+    cut AS (SELECT *, CASE WHEN starts_with(l, chr(1)) THEN [l[2:]] ELSE regexp_extract_all(l, '\\([^()]*\\)|[{_D_KANA}{_D_CJK}【】][{_D_KANA}{_D_CJK}】]*|[^(【】{_D_KANA}{_D_CJK}]+') END AS runs FROM lines),
+    each_ AS (SELECT doc_id, start, line, starts_with(l, chr(1)) AS label, unnest(runs) AS text, unnest(range(len(runs))) AS run FROM cut)
+    SELECT doc_id, start, line::INTEGER AS line, run::INTEGER AS run, text, CASE WHEN label THEN 'conj' WHEN starts_with(text, '(') THEN 'paren' WHEN regexp_matches(text, '[{_D_CJK}]') THEN 'kanji'
+        WHEN regexp_matches(text, '[{_D_KANA}【】]') THEN 'kana' ELSE 'text' END AS kind FROM each_"""
+)
 def tooltip_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.coloured(assemble.tooltip(_parsed(spark).segments))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {D_RESULT} SELECT doc_id, start, surface, CASE WHEN NOT matched THEN 'unmatched' WHEN list_contains(entries[1].flags, 'particle') THEN 'particle'
+        WHEN list_contains(entries[1].flags, 'counter') THEN 'counter' WHEN regexp_matches(surface, '[\\x{{4E00}}-\\x{{9FFF}}]') THEN 'kanji' ELSE 'kana' END AS chip FROM segments"""
+)
 def chip_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.chip_class(_parsed(spark).segments)
 
 
+@query(
+    f"""WITH RECURSIVE {D_WORDS}, {D_TEXTS}, {D_HITS}, {D_COST}, {D_FOLD}, {D_SPANS}
+    SELECT p.doc_id, p.start::INTEGER AS start, p.len::INTEGER AS len, matched, substr(t.text, p.start::INTEGER + 1, p.len::INTEGER) AS surface FROM path_spans p JOIN texts t USING (doc_id)
+    WHERE p.start = 3"""
+)
+def segment_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that begin at a place: a filter."""
+    return assemble.segment_at(_part_paths(spark, sf_dir)[2], 3)
+
+
+@query(f"WITH {D_HEADS}, {D_GRAMMAR}, {D_STEMS}, {D_LEXICON} SELECT key, key_chars::INTEGER AS key_chars, surface, flags, verb_type, entry_id FROM lex")
+def lexicon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = lexicon.headwords(fx.raw_entries(spark))
+    return lexicon.lexicon(heads, lexicon.stems(heads, _grammar(spark))).drop("ord")
+
+
+@query(f"WITH {D_GRAMMAR} SELECT count(DISTINCT type_id) AS types, count(*) AS rows_, count(next_type) AS linked FROM grammar_edges")
+def grammar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.counts(_grammar(spark))
+
+
 @query()
 def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document against a lexicon of benchmark words: the throughput query."""
@@ -702,11 +824,14 @@ def subset_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex.join(grams, "key", "left_semi").select("entry_id", "surface")
 
 
-@query()
+@query(
+    f"""WITH {D_HEADS}, {D_GRAMMAR}, {D_SENTENCES}, keys AS (SELECT entry_id, {d_unify('surface')} AS key FROM heads
+        UNION SELECT h.entry_id, left({d_unify('h.surface')}, length(h.surface) - length(e.ending)) FROM heads h JOIN (SELECT DISTINCT {d_unify('ending')} AS ending FROM ends WHERE ending <> '') e
+            ON ends_with({d_unify('h.surface')}, e.ending) WHERE len(list_filter(h.pos, lambda p: regexp_matches(p, '^(v|adj-)'))) > 0)
+    SELECT DISTINCT entry_id AS id FROM keys k WHERE k.key = '' OR EXISTS (SELECT 1 FROM texts t WHERE contains({d_unify('t.text')}, k.key))"""
+)
 def subset_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = fx.raw_entries(spark)
-    texts = fx.sentences(spark).where("doc_id IN (0, 3, 13)")
-    return lexicon.needed_entries(raw, texts, _grammar(spark)).select("id")
+    return lexicon.needed_entries(fx.raw_entries(spark), fx.sentences(spark), _grammar(spark)).select("id")
 
 
 # --- generations and streams ------------------------------------------------------------------------------------------
