@@ -426,3 +426,47 @@ def test_probes_cover_long_texts(spark):
     got = matching.probes(docs, [1, 5], ahead=4).collect()
     want = {(i, n, text[i : i + n], text[i + n : i + n + 4]) for n in (1, 5) for i in range(len(text) - n + 1)}
     assert {(r["start"], r["len"], r["source"], r["behind"]) for r in got} == want and len(got) == len(want)
+
+
+# --- words in one pass ------------------------------------------------------------------------------------------------
+
+
+def _random_words(rng):
+    letters = "かきくカキク本々3３ab "
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 4)))
+    flags = [0, 0, fl.COMMON, fl.PARTICLE, fl.COUNTER, fl.IS_NAME, fl.COUNTER | fl.COMMON, fl.IS_NAME | fl.COMMON_LINE]
+    rows = {(w, rng.choice(flags)) for w in (word() for _ in range(60))}
+    text = lambda n: "".join(rng.choice(letters + "   日x") for _ in range(n))
+    return sorted(rows), text
+
+
+def test_words_in_one_pass_are_those_of_the_joins(spark):
+    from yomisen.operators import scan
+
+    rows, text = _random_words(random.Random(11))
+    words = spark.createDataFrame([(w, f, i) for i, (w, f) in enumerate(rows)], "surface string, flags int, entry_id long")
+    words = words.select(kana.unify(F.col("surface")).alias("key"), F.length("surface").alias("key_chars"), "surface", "flags", "entry_id")
+    texts = spark.createDataFrame([(i, text(i)) for i in range(150)] + [(500, None), (501, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["total_cost"], r["spans"]) for r in scan.paths_of_words(texts, words).collect()}
+    assert got == {r["doc_id"]: (r["total_cost"], r["spans"]) for r in scan.paths_of_words(texts, words, most_bytes=0).collect()}
+    assert scan.paths_of_words(texts, words.limit(0)).where("doc_id = 7").first()["total_cost"] >= 700
+
+
+def test_long_texts_are_cut_where_nothing_straddles():
+    from time import perf_counter
+
+    from yomisen.operators import scan
+
+    rng = random.Random(12)
+    rows, text = _random_words(rng)
+    words = scan.Words([(kana.unify_text(w), w, f) for w, f in rows])
+    for _ in range(30):
+        one_text = text(rng.randint(0, 300))
+        whole = scan.solve_text(one_text, words)
+        assert whole == scan.solve_text(one_text, words, block=7)
+        assert sum(n for _, n, _ in whole[1]) == len(one_text)
+    chained = scan.Words([("AAA", "aaa", 0)])
+    assert scan.solve_text("a" * 1000, chained, block=10) == scan.solve_text("a" * 1000, chained)
+    began = perf_counter()
+    cost, path = scan.solve_text(text(1000) * 5000, words)
+    assert cost > 0 and path[-1][0] + path[-1][1] == 5_000_000 and perf_counter() - began < 60

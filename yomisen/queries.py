@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import flags as fl
 from .functions import kana, romaji
-from .operators import assemble, lexicon, matching, parse, rank, segment
+from .operators import assemble, lexicon, matching, parse, rank, scan, segment
 from .plans import grammar as gr
 from .plans.spread import spread
 from .plans.store import stored
@@ -799,17 +799,11 @@ def grammar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document against a lexicon of benchmark words: the throughput query."""
-    from pyspark.sql import Window
-
-    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("length(word) > 1").distinct()
-    number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("word")).cast("long")  # a few thousand words
-    lex = words.select(kana.unify(F.col("word")).alias("key"), F.length("word").alias("key_chars"), "word", number.alias("entry_id")).cache()
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("surface")).where("length(surface) > 1").distinct()
+    words = words.select(kana.unify(F.col("surface")).alias("key"), F.length("surface").alias("key_chars"), "surface", F.lit(0).alias("flags"), F.xxhash64("surface").alias("entry_id"))
     texts = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lengths = matching.key_lengths(lex)
-    probes = matching.probes(texts, lengths, prefixes=matching.key_prefixes(lex, lengths))
-    found = probes.join(lex.drop("key_chars"), "key")
-    edges = found.groupBy("doc_id", "start", "len").agg(F.min(F.when(kana.strict_eq(F.col("source"), F.col("word")), segment.MATCH).otherwise(segment.MATCH + segment.INEXACT)).cast("long").alias("cost"))
-    return segment.paths(texts, edges).select("doc_id", "total_cost", F.size("spans").alias("n_spans"), F.size(F.filter("spans", lambda s: s["matched"])).alias("n_matched"))
+    solved = scan.paths_of_words(texts, words)
+    return solved.select("doc_id", "total_cost", F.size("spans").alias("n_spans"), F.size(F.filter("spans", lambda s: s["matched"])).alias("n_matched"))
 
 
 @query(
