@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags as fl
@@ -19,26 +22,55 @@ COMMON, COUNTER_AFTER_NUMBER, INEXACT = -3, -2, 10
 NAME_BAD_CHAR, NAME_OK = 500, 5
 
 
-def positions(texts: DataFrame) -> DataFrame:
-    """One row per character with what the costs ask of its surroundings.
+#: Characters in one row of surroundings.
+PIECE = 256
+MID_NUMBER_BIT, AFTER_NUMBER_BIT, KATAKANA_BIT, KATAKANA_BEFORE_BIT, KATAKANA_AFTER_BIT, BITS = 1, 2, 4, 8, 16, 5
 
-    ``mid_number``: it and the one before are digits; ``after_number``: the last
-    character before it that is no space is a digit; ``others``: how many up to
-    here are not katakana.
+
+@lru_cache
+def _members(pattern: str) -> np.ndarray:
+    """Which code points of the basic plane a character class has."""
+    own = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), pattern))
+    return np.array([bool(own.match(chr(c))) for c in range(0x10000)])
+
+
+def codes_of(text: str) -> np.ndarray:
+    """Of each character what the costs ask of its surroundings, in bits, and above them how many up to here are not katakana.
+
+    ``MID_NUMBER_BIT``: it and the one before are digits; ``AFTER_NUMBER_BIT``: the
+    last character before it that is no space is a digit.
     """
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    each = texts.select("doc_id", F.posexplode(chars).alias("pos", "ch"))
-    own = Window.partitionBy("doc_id").orderBy("pos")
-    digit, kata = F.col("ch").rlike(DIGIT), F.col("ch").rlike(KATAKANA)
-    each = each.select("doc_id", "pos", digit.alias("digit"), kata.alias("kata"), F.col("ch").rlike(IDEOGRAPH).alias("ideograph"), F.col("ch").isin(" ", "　").alias("space"))
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    return each.select(
-        "doc_id", "pos", "ideograph", "kata",
-        (F.col("digit") & F.coalesce(F.lag("digit").over(own), F.lit(False))).alias("mid_number"),
-        F.coalesce(F.last(F.when(~F.col("space"), F.col("digit")), ignorenulls=True).over(before), F.lit(False)).alias("after_number"),
-        F.coalesce(F.lag("kata").over(own), F.lit(False)).alias("kata_before"), F.coalesce(F.lead("kata").over(own), F.lit(False)).alias("kata_after"),
-        F.sum((~F.col("kata")).cast("int")).over(own).alias("others"),
-    )
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    known = np.minimum(points, 0xFFFF)  # U+FFFF is in no class
+    digit, kata = _members(DIGIT)[known], _members(KATAKANA)[known]
+    before = lambda x: np.append(False, x[:-1])
+    space = (points == 0x20) | (points == 0x3000)
+    last = np.maximum.accumulate(np.where(space, -1, np.arange(n)))
+    after = before((last >= 0) & digit[np.maximum(last, 0)])
+    out = np.cumsum(~kata).astype(np.int64) << BITS
+    for bit, x in (
+        (MID_NUMBER_BIT, digit & before(digit)), (AFTER_NUMBER_BIT, after), (KATAKANA_BIT, kata), (KATAKANA_BEFORE_BIT, before(kata)), (KATAKANA_AFTER_BIT, np.append(kata[1:], False)),
+    ):
+        out |= x.astype(np.int64) * bit
+    return out
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            codes = codes_of(text or "")
+            cuts = np.append(np.arange(0, len(codes), PIECE), len(codes)).astype(np.int32)
+            parts = len(cuts) - 1
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(codes))
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * parts, pa.int64()), pa.array(range(parts), pa.int32()), lists], names=["doc_id", "part", "codes"])
+
+
+def surroundings(texts: DataFrame) -> DataFrame:
+    """``(doc_id, part, codes)``: :func:`codes_of` every ``PIECE`` characters; a text costs its length, and no window spans it."""
+    return texts.select("doc_id", "text").mapInArrow(_surroundings, "doc_id long, part int, codes array<long>")
 
 
 def match_cost(length: Column, flags: Column, inexact: Column, mid_number: Column, after_number: Column, isolated: Column, bad_start: Column, bad_end: Column) -> Column:
@@ -58,11 +90,17 @@ def match_cost(length: Column, flags: Column, inexact: Column, mid_number: Colum
 
 def scored(candidates: DataFrame, texts: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """Adds ``cost`` and ``after_number`` to matches; ``hints(doc_id, pos, bad_start, bad_end)`` are optional."""
-    at = positions(texts)
-    begin = at.select("doc_id", F.col("pos").alias("start"), "mid_number", "after_number", "kata_before", (F.col("others") - (~F.col("kata")).cast("int")).alias("others_before"))
-    end = at.select("doc_id", F.col("pos").alias("last"), "kata_after", "others")
-    joined = candidates.withColumn("last", F.col("start") + F.col("len") - 1).join(begin, ["doc_id", "start"]).join(end, ["doc_id", "last"])
-    isolated = (F.col("others") == F.col("others_before")) & ~F.col("kata_before") & ~F.col("kata_after")
+    at = surroundings(texts)
+    part = lambda c: (F.floor(F.col(c) / PIECE)).cast("int")
+    code = lambda c: F.get("codes", (F.col(c) % PIECE).cast("int"))
+    joined = candidates.withColumn("last", F.col("start") + F.col("len") - 1)
+    joined = joined.withColumn("part", part("start")).join(at, ["doc_id", "part"]).withColumn("begins", code("start")).drop("codes", "part")
+    joined = joined.withColumn("part", part("last")).join(at, ["doc_id", "part"]).withColumn("ends", code("last")).drop("codes", "part")
+    bit = lambda c, b: F.col(c).bitwiseAND(F.lit(b).cast("long")) != 0
+    others = lambda c: F.shiftright(F.col(c), BITS)
+    same = others("ends") == others("begins") - (~bit("begins", KATAKANA_BIT)).cast("long")  # nothing in between but katakana
+    isolated = same & ~bit("begins", KATAKANA_BEFORE_BIT) & ~bit("ends", KATAKANA_AFTER_BIT)
+    joined = joined.withColumns({"mid_number": bit("begins", MID_NUMBER_BIT), "after_number": bit("begins", AFTER_NUMBER_BIT)})
     if hints is None:
         joined = joined.withColumns({"bad_start": F.lit(False), "bad_end": F.lit(False)})
     else:
