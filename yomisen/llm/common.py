@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,28 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker looks at together.
-CHUNK_BYTES = 4 << 20
-
+from ..plans.store import ensure_checkpoint_dir
+from ..plans.store import stored as materialise
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leaves the cluster's checkpoint folder as it is; sets one only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="yomisen-checkpoint-"))
+__all__ = ["ensure_checkpoint_dir", "materialise", "stored", "forget", "ascii_lower", "texts_of", "chunks", "joined_buffer", "with_text", "range_of", "unused"]
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Bytes of text that a Python worker looks at together.
+CHUNK_BYTES = 4 << 20
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Writes a table to the shared folder, columns compressed, and reads it again; returns its path too, for :func:`forget`."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 
