@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import gzip
-from pathlib import Path
-
+import io
+import time
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,36 +45,107 @@ def is_dictionary_xml(content: Column) -> Column:
     return F.ltrim(F.regexp_replace(content, "^\\x{FEFF}", "")).rlike(r"^\s*(?:<\?xml|<!DOCTYPE JMdict|<JMdict)")
 
 
-def resolve(folder: str, names: tuple[str, ...] = ("JMdict_e.gz", "JMdict_e.xml", "JMdict_e", "JMdict.gz", "JMdict.xml")) -> str:
-    """The first of the known file names that lies in a local folder."""
+#: Names under which a dictionary may lie in a folder, in order.
+FILE_NAMES = ("JMdict_e.gz", "JMdict_e.xml", "JMdict_e", "JMdict.gz", "JMdict.xml")
+#: Largest archive that is taken, and seconds that a download may take.
+MOST_BYTES, MOST_SECONDS = 32 << 20, 120
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def head_of(spark: SparkSession, path: str, size: int = 512) -> bytes:
+    """The first bytes of a file in any store."""
+    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("head")).first()
+    return bytes(row["head"]) if row else b""
+
+
+def resolve(spark: SparkSession, folder: str, names: tuple[str, ...] = FILE_NAMES, download: Callable[[], str] | None = None) -> str:
+    """The first of the known file names that lies in a folder of any store; else what ``download`` gives, if that is allowed."""
+    files, path = _files(spark, folder)
     for name in names:
-        if (Path(folder) / name).is_file():
-            return str(Path(folder) / name)
+        if files.exists(path(f"{folder}/{name}")):
+            return f"{folder}/{name}"
+    if download is not None:
+        return download()
     raise FileNotFoundError(f"no dictionary in {folder}; looked for {', '.join(names)}")
 
 
-def verified_copy(source: str, target: str) -> str:
-    """Reads a gzip archive to its end and only then publishes it under its final name."""
-    part = Path(f"{target}.partial")
-    with open(source, "rb") as file, open(part, "wb") as out:
-        while block := file.read(1 << 20):
-            out.write(block)
-    with gzip.open(part) as file:
-        while file.read(1 << 20):
-            pass
-    part.rename(target)
+def fetch(
+    spark: SparkSession, opener: Callable[[], BinaryIO], target: str, tries: int = 3, most_bytes: int = MOST_BYTES, most_seconds: float = MOST_SECONDS, pause: float = 1.0
+) -> str:
+    """Copies a gzip archive from ``opener()`` to a store, reads it to its end, and only then publishes it by a rename.
+
+    An archive that is too large, or isn't a dictionary, is an error at once; a
+    broken or slow transfer is tried again, after a pause that doubles.
+    """
+    files, path = _files(spark, target)
+    part = path(f"{target}.partial-{uuid.uuid4().hex}")
+    for attempt in range(tries):
+        try:
+            data = _transfer(opener, most_bytes, most_seconds)
+            break
+        except (OSError, EOFError, zlib.error):
+            if attempt == tries - 1:
+                raise
+            time.sleep(pause * 2**attempt)
+    out = files.create(part, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if files.exists(path(target)):
+        files.delete(path(target), False)
+    if not files.rename(part, path(target)):
+        raise OSError(f"{target} can't be published")
     return target
 
 
+def _transfer(opener: Callable[[], BinaryIO], most_bytes: int, most_seconds: float) -> bytes:
+    """The whole archive, held against its own checksum and the test of its head."""
+    began, blocks, size = time.monotonic(), [], 0
+    with opener() as source:
+        while block := source.read(1 << 16):
+            size += len(block)
+            if size > most_bytes:
+                raise NotADictionary(f"the archive has over {most_bytes} bytes")
+            if time.monotonic() - began > most_seconds:
+                raise TimeoutError(f"no archive in {most_seconds} seconds")
+            blocks.append(block)
+    data = b"".join(blocks)
+    if sniff(data[:512]) == "gzip":
+        with gzip.open(io.BytesIO(data)) as file:
+            if sniff(file.read(512)) != "xml":
+                raise NotADictionary("the archive holds no dictionary XML")
+            while file.read(1 << 20):
+                pass
+    return data
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """``(seq, ent_seq, k_ele, r_ele, sense)`` of each entry of a dictionary file, split at entry ends.
 
     Named entities keep their names.  One that stands within other text is an
-    error, and so is an entry that isn't well-formed.  Gzip files are read by
-    their extension, as Spark does; seq keeps the order of entries in a file.
+    error, and so are an entry that isn't well-formed and a file that is neither
+    gzip nor dictionary XML by its first bytes, whatever its name; a gzip file
+    without the extension is unpacked by its content.  seq keeps the order of
+    entries in a file.
     """
-    lines = spark.read.option("lineSep", "</entry>").text(path)
-    return entries_of_text(lines)
+    if sniff(head_of(spark, path)) == "gzip" and not path.endswith(".gz"):
+        content = F.decode(F.col("content"), "utf-8")
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("content").to_pylist():
+                    parts = gzip.decompress(data).split(b"</entry>")
+                    for at in range(0, len(parts), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(parts[at : at + 10_000], pa.binary())], names=["content"])
+
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpacked, "content binary")
+        return entries_of_text(rows.select(content.alias("value")))
+    return entries_of_text(spark.read.option("lineSep", "</entry>").text(path))
 
 
 def entries_of_text(lines: DataFrame) -> DataFrame:

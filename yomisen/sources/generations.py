@@ -131,4 +131,7 @@ def ensure(spark: SparkSession, root: str, grammar: Grammar, grammar_text: str,
             pass
     folder = write(spark, root, build(source(), grammar), grammar_text)
     sweep(spark, root, keep)
-    return open_generation(spark, folder, grammar, grammar_text)
+    try:
+        return open_generation(spark, folder, grammar, grammar_text)
+    except Unusable:  # swept by another that published meanwhile: its generation serves as well
+        return open_generation(spark, f"{root}/gen-{numbers(spark, root)[-1]}", grammar, grammar_text)
