@@ -696,3 +696,56 @@ def test_pipeline_against_the_stages_by_brute_force(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in got} == clean
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "packing"]
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory, rows):
+    """Tables with nulls, empty, repeated and long texts, extra columns that clash, and few labels."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    rng = random.Random(3)
+    good = [(1000 + i, "This is a plain sentence about rivers and towns.\n" * 2 + f"It ends with the word {text_of(rng, 30)}.") for i in range(30)]
+    bad = [(2000 + i, "BUY NOW!!! $$$ ### @@@\n" * 3 + f"*** {i} !!!") for i in range(30)]
+    docs = [(i, t, "x", 1, 0) for i, t in [*rows, *good, *bad, *good[:3]]]
+    spark.createDataFrame(docs, "doc_id long, text string, packer string, score int, hash int").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, 0) for i, _ in good] + [(i, 0, 1) for i, _ in bad] + [(None, None, None), (1000, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, good[5][1].split('the word ')[1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_every_stage_takes_odd_rows(spark, odd_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, odd_dir)
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns and Counter(map(tuple, got)) <= Counter(map(tuple, docs.collect()))
+        else:
+            assert sum(r["piece"] == 0 for r in got) == docs.count()
+        assert stage(spark, docs.limit(0), odd_dir).collect() == []
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, odd_dir).collect()}
+    assert 1005 not in kept and not {i for i in kept if i and i >= 2000} and len({i for i in kept if i and 1000 <= i < 1030}) > 25
+
+
+def test_a_pipeline_goes_on_where_it_failed(spark, odd_dir, monkeypatch):
+    import corpus_pipeline
+
+    called = []
+
+    def counted(name, stage, fails):
+        def run(spark, docs, sf_dir):
+            called.append(name)
+            if fails and called.count(name) == 1:
+                raise RuntimeError(name)
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    plain = [("a", lambda s, docs, d: docs.where("doc_id >= 1000")), ("b", lambda s, docs, d: docs.where("doc_id < 2000")), ("c", lambda s, docs, d: docs.where("doc_id <> 1001"))]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(n, f, n == "b")) for n, f in plain])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, odd_dir, "once")
+    assert corpus_pipeline.run(spark, odd_dir, "once").count() == 30 + 3 - 2
+    assert called == ["a", "b", "b", "c"]
