@@ -532,6 +532,14 @@ def test_scanning_nothing_and_clashing_columns(spark):
     assert secrets.scan(docs.limit(0)).collect() == []
 
 
+def test_very_long_urls(spark):
+    long = ["http://a.com/" + "x/" * 4_000, "://" * 2_000, "http://" + "a." * 4_000 + "com", "x" * 8_000]
+    pages = spark.createDataFrame([(i, u, None, "r") for i, u in enumerate(long)], "page_id long, url string, html string, rule string")
+    for r in url_filter.judge_urls(pages).collect():
+        host, path, rule, _ = plain_judgement(long[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block")
+
+
 # --- pages ------------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

@@ -325,7 +325,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row of ``pages(page_id, url, html)``.
 
     Null and empty pages give an empty text; broken markup is read as far as it
-    goes; repeats repeat; no rows give none; other columns are ignored.
+    goes, and what never closes is text; a page costs its length however it nests;
+    repeats repeat; no rows give none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,7 +203,8 @@ def packed(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Every document of ``docs(doc_id, text)`` in sequences of at most 2048 tokens.
 
     One row per piece.  A null text is empty; empty texts take one token; a
-    document of at most 2048 tokens is never cut; repeated rows are packed as
-    often as they come; no rows give none; other columns are ignored.
+    document of at most 2048 tokens is never cut; longer ones are, at any length;
+    repeated rows are packed as often as they come; no rows give none; other columns
+    are ignored.
     """
     return pack(materialise(pieces(docs, with_ids=with_ids)))

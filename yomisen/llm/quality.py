@@ -260,7 +260,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted, bad_lines)`` of every row of ``docs(doc_id, text)``.
 
     Labels are learnt from rows whose crc32(doc_id) mod 3 is not 1.  A null text
-    is empty and has one empty line; repeats repeat; no rows give none; without
+    is empty and has one empty line; texts of any length and number of lines are
+    read whole; a score of just 0.5 is 1; repeats repeat; no rows give none; without
     labels every score is 0.5; other columns are ignored.
     """
     model = learn(docs, labels, ~held_out())

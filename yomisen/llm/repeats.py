@@ -466,7 +466,8 @@ def cut_repeats(docs: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     A byte goes if a 200-byte string over it also starts anywhere else, in the
     same text or another; matches never cross texts.  Null counts as empty; texts
     under 200 bytes stay whole; equal rows lose everything from 200 bytes on;
-    ``kept`` may begin or end within a character; other columns are ignored.
+    ``kept`` may begin or end within a character; texts of any length are taken
+    whole; no rows give none; other columns are ignored.
     """
     keyed, marks = find_repeats(docs, index_bytes)
     rows = keyed.join(marks, (F.col("ka") == F.col("ma")) & (F.col("kb") == F.col("mb")), "left")

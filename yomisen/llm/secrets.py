@@ -323,7 +323,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Spans of secrets in every whole text of ``docs(doc_id, text)``; null is empty.
 
     Texts without a span have counts 0, an empty ``spans`` and the digest of the
-    empty string; repeats repeat; no rows give none; other columns are ignored.
+    empty string; spans of equal start go by kind, then end; a text costs its length,
+    whatever is in it; repeats repeat; no rows give none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest doc_id that links reach.  Null and empty
     texts have fingerprint zero and are linked like any other; a null doc_id is
     never a component's id unless the component has no other; repeated rows are
-    reported as often as they come; no rows give none; other columns are ignored.
+    reported as often as they come; texts of any length are read whole; no rows
+    give none; other columns are ignored.
     """
     return _rows_with_least(docs).select("doc_id", "fingerprint", F.col("least.doc_id").alias("component_id"))
 
