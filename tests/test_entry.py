@@ -47,5 +47,14 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
             continue
         (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / rel).write_text(p.read_text())
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'parse_result' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q); e.oracle_sql()"
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+
+q = e.queries()
+assert 'parse_result' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q)
+e.oracle_sql()
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+assert q['segment_documents'](spark, '/root/testdata/sf0.001').count() == 200 and q['flag_names'](spark, '').count() == 512
+"""
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
