@@ -477,6 +477,25 @@ def test_plans_push_down_columns_and_join_by_hash(spark, sf_dir):
     assert plan.get("BroadcastHashJoin") or plan.get("SortMergeJoin")
 
 
+@pytest.mark.parametrize("most", [0, matching.MOST_BYTES])
+def test_texts_are_never_broadcast(spark, monkeypatch, tmp_path, most):
+    """The lexicon's side is built or both are merged, with empty keys and without, whatever Spark takes the texts' size to be."""
+    monkeypatch.setattr(matching, "MOST_BYTES", most)
+    rows = [(i, f"{i} abcab{'xy' * i}") for i in range(40)] + [(98, ""), (99, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    schema = "key string, key_chars int, surface string, flags int, verb_type int, entry_id long, ord struct<a:int>"
+    for words in (["", ""], ["", "ab", "a", "yx"], ["ab", "cab"], []):
+        lex = spark.createDataFrame([(w.upper(), len(w), w, 1, None, i, (i,)) for i, w in enumerate(words)], schema)
+        hits = matching.prefix_hits(texts, lex)
+        got = sorted((r["doc_id"], r["start"], r["entry_id"]) for r in hits.collect())
+        assert got == sorted((i, at, e) for i, t in rows for at in range(len(t or "")) for e, w in enumerate(words) if t[at:].startswith(w))
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan
+        if words == ["", ""]:
+            assert "BuildRight" in plan and "SortMergeJoin" not in plan
+
+
 def test_probes_cover_long_texts(spark):
     text = "".join(random.Random(3).choice("abcé本") for _ in range(700))
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.kana import strict_eq, unify
 
 #: Positions of a piece of text.
 PIECE = 128
+#: Bytes of a lexicon that every worker may hold.
+MOST_BYTES = 8 << 20
 
 
 def key_lengths(lexicon: DataFrame) -> list[int]:
@@ -54,13 +58,37 @@ def probes(texts: DataFrame, lengths: list[int], ahead: int = 0, prefixes: DataF
     return each.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "len", source.alias("source"), key.alias("key"), *more)
 
 
+def _measured(lexicon: DataFrame) -> dict[int, int]:
+    """The lengths that keys have, and about how many bytes the records of each take."""
+    size = F.octet_length("key") + F.octet_length("surface") + 128
+    return {r[0]: r[1] for r in lexicon.groupBy("key_chars").agg(F.coalesce(F.sum(size), F.lit(0))).collect()}
+
+
+def _held(records: DataFrame, size: int) -> DataFrame:
+    """The lexicon's side of a join: measured and broadcast if small, else merged.
+
+    Texts grow with their positions, which Spark's estimates don't see: left to itself it may broadcast them.
+    """
+    return F.broadcast(records) if size <= MOST_BYTES else records.hint("merge")
+
+
 def prefix_hits(texts: DataFrame, lexicon: DataFrame, ahead: int = 0) -> DataFrame:
     """Records whose key begins at each position: ``(doc_id, start, key_chars, surface, flags, verb_type, entry_id, ord, inexact)``.
 
-    An equi-join on the key; Spark broadcasts the lexicon if it is small.  Empty keys fit everywhere.
+    An equi-join on the key; a lexicon of up to ``MOST_BYTES`` is broadcast, texts never are.
+    Empty keys fit everywhere: their records go to every worker, as each makes a row of every position.
     """
-    lengths = key_lengths(lexicon) or [0]
-    found = probes(texts, lengths, ahead, key_prefixes(lexicon, lengths)).join(lexicon.withColumnRenamed("key_chars", "len"), ["len", "key"])
+    sizes = _measured(lexicon)
+    lengths = sorted(n for n in sizes if n)
+    records = lexicon.withColumnRenamed("key_chars", "len")
+    joined = []
+    if lengths or not sizes:
+        size = sum(sizes[n] for n in lengths)
+        found = probes(texts, lengths or [0], ahead, _held(key_prefixes(lexicon, lengths), size) if lengths else None)
+        joined.append(found.join(_held(records.where("len > 0"), size), ["len", "key"]))
+    if 0 in sizes:
+        joined.append(probes(texts, [0], ahead).join(F.broadcast(records.where("len = 0")), ["len", "key"]))
+    found = reduce(DataFrame.unionByName, joined)
     inexact = ~strict_eq(F.col("source"), F.col("surface"))
     more = ["behind"] if ahead else []
     return found.select("doc_id", "start", F.col("len").alias("key_chars"), "surface", "flags", "verb_type", "entry_id", "ord", inexact.alias("inexact"), *more)
