@@ -135,6 +135,45 @@ def test_drop_similar(spark):
     assert len(clean) > 20 and set(clean) <= kept
 
 
+def test_similar_links_are_those_of_all_pairs_in_a_key(spark, monkeypatch):
+    """Texts that share a key with many others are linked to each other, not to one of them alone."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(12)
+    most = simhash.wide_distance(0.8)
+    flip = lambda x, size, bits: x ^ sum(1 << i for i in rng.sample(range(size), bits))
+    nodes = []
+    for common in [rng.getrandbits(64) for _ in range(2)]:
+        for _ in range(25):
+            wide = rng.getrandbits(64 * simhash.WIDE)
+            for _ in range(rng.randint(1, 6)):  # steps away, so that the ends of a chain aren't similar
+                wide = flip(wide, 64 * simhash.WIDE, rng.choice((most // 2, most, most + 1)))
+                nodes.append((wide, [flip(common, 64, rng.randint(0, 6)) for _ in range(simhash.SHORT)]))
+
+    def similar(a, b):
+        if (a[0] ^ b[0]).bit_count() > most:
+            return False
+        for x in (p ^ q for p, q in zip(a[1], b[1], strict=True)):
+            for start in range(8):
+                ring = (x << 8 * start | x >> 64 - 8 * start) & (1 << 64) - 1
+                segments = [(ring >> 56 - 8 * k & 255).bit_count() for k in range(8)]
+                if (ring >> 24 == 0 or (ring >> 40 == 0 and ring >> 8 & 0xFFFF == 0)) and all(sum(segments[: k + 1]) <= k + 1 for k in range(8)):
+                    return True
+        return False
+
+    def groups(pairs):
+        root = list(range(len(nodes)))
+        for a, b in pairs:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *(signed(w >> 64 * k & (1 << 64) - 1) for k in range(simhash.WIDE)), *map(signed, s)) for i, (w, s) in enumerate(nodes)]
+    table = spark.createDataFrame(rows, ", ".join(f"{x} long" for x in ["node", *simhash.PRINTS]))
+    got = {(r["a"], r["b"]) for r in simhash.similar_links(table, 0.8).collect()}
+    want = {(a, b) for a in range(len(nodes)) for b in range(a) if similar(nodes[a], nodes[b])}
+    assert len(want) > 40 and groups(got) == groups(want)
+
+
 def test_drop_similar_holds_one_of_a_full_group(spark):
     rng = random.Random(6)
     words = [f"w{rng.randrange(900)}" for _ in range(200)]

@@ -42,6 +42,10 @@ DISTANCE = 2
 FILE_SIZE = 256
 #: For drop_similar: words of a shingle, 64-bit words of the wide fingerprint, short fingerprints, and the distance that their chains allow.
 SIMILAR_WORDS, WIDE, SHORT, SHORT_DISTANCE = 5, 8, 3, 8
+#: Fingerprints of a key that a task holds against the others at a time.
+BLOCK = 1024
+#: Steps along links to hubs that tell which nodes needn't be held against each other.
+ROUNDS = 4
 
 
 PRINTS = [*(f"w{i}" for i in range(WIDE)), *(f"s{i}" for i in range(SHORT))]
@@ -260,21 +264,29 @@ def _wide(words: int):
     return run
 
 
+def _similar_keys(i: int) -> Column:
+    """The 16 keys of a short fingerprint, tagged with its number, chain start and half."""
+    return F.transform(_keys(F.col(f"s{i}")), lambda k: k.bitwiseOR(F.lit(i << 44).cast("long")))
+
+
+def _wide_apart() -> Column:
+    return sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_"))) for i in range(WIDE)), F.lit(0))
+
+
 def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``nodes(node, w0.., s0..)`` to links ``(a, b)`` of similar ones.
+    """``nodes(node, w0.., s0..)`` to links ``(a, b)`` whose components are those of all similar pairs.
 
-    Those that share a key of a short fingerprint are held against the least of
-    them (another for each fingerprint): chain budgets first, then the distance
-    of the wide fingerprints.  Rows are in proportion to nodes, however many are alike.
+    Two nodes are similar if they share a key of a short fingerprint, keep to the chain
+    budgets from there and the distance of the wide fingerprints.  Those that
+    share a key are held against the least of them (another for each fingerprint)
+    first, then :func:`_other_links` tests every pair of a key that isn't connected by then.
     """
-    def keys(i: int) -> Column:
-        return F.transform(_keys(F.col(f"s{i}")), lambda k: k.bitwiseOR(F.lit(i << 44).cast("long")))
 
     def chained(i: int) -> Column:
         own = F.filter("chains", lambda c: F.shiftrightunsigned(c, 3) == i)
         return F.exists(own, lambda c: _within(F.col(f"s{i}"), F.col(f"s{i}_"), c.bitwiseAND(F.lit(7).cast("long")), SHORT_DISTANCE))
 
-    keyed = nodes.select("node", F.explode(F.concat(*map(keys, range(SHORT)))).alias("key"))
+    keyed = nodes.select("node", F.explode(F.concat(*map(_similar_keys, range(SHORT)))).alias("key"))
     order = F.xxhash64("node", F.shiftrightunsigned("key", 44))
     first = keyed.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     met = keyed.join(first.select(F.negate("key").alias("less"), "first"), F.negate("key") == F.col("less")).select("node", "key", order.alias("own"), "first")
@@ -285,8 +297,45 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     other = nodes.select(F.bitwise_not("node").alias("other"), *(F.col(x).alias(f"{x}_") for x in PRINTS))
     pairs = pairs.join(nodes.withColumn("same", F.bitwise_not("node")).drop("node"), F.bitwise_not("node") == F.col("same"))
     pairs = pairs.join(other, F.bitwise_not("hub") == F.col("other"))
-    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_"))) for i in range(WIDE)), F.lit(0))
-    return pairs.where(reduce(Column.__or__, map(chained, range(SHORT)))).where(apart <= wide_distance(similarity)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    pairs = pairs.where(reduce(Column.__or__, map(chained, range(SHORT)))).where(_wide_apart() <= wide_distance(similarity))
+    links = materialise(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    return links.union(_other_links(nodes, met.select("node", "key"), links, similarity))
+
+
+def _other_links(nodes: DataFrame, met: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs of ``met(node, key)`` but for those that ``links`` (to hubs) plainly connect, as links ``(a, b)`` of the hubs they are linked to.
+
+    In each key those outside the largest group around a hub are held against all
+    others of the key, ``BLOCK`` of them at a time.  Keys of one group need no test.
+    """
+    # equal roots mean connected nodes: the least of those that ROUNDS steps along the links reach
+    both = links.select("a", "b").union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).toDF("a", "b").distinct()
+    roots = both.groupBy("a").agg(F.min("b").alias("root"))
+    for _ in range(ROUNDS - 1):
+        roots = roots.select(F.bitwise_not("a").alias("other"), "root")
+        roots = both.join(roots, F.bitwise_not("b") == F.col("other")).groupBy("a").agg(F.min("root").alias("root"))
+    roots = roots.select(F.bitwise_not("a").alias("other"), "root")
+    placed = met.join(roots, F.bitwise_not("node") == F.col("other"), "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed)
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    blocks = F.ceil((F.col("n") - F.col("most.n")) / F.lit(BLOCK))
+    mixed = mixed.select(F.negate("key").alias("less"), F.col("most.root").alias("main"), blocks.alias("blocks"))
+    rows = placed.join(mixed, F.negate("key") == F.col("less")).drop("less")
+    tag = F.shiftrightunsigned("key", 44)
+    short = reduce(lambda x, i: F.when(tag == i, F.col(f"s{i}")).otherwise(x), range(1, SHORT), F.col("s0"))
+    wide = [f"w{i}" for i in range(WIDE)]
+    prints = nodes.withColumn("same", F.bitwise_not("node")).drop("node")
+    rows = rows.join(prints, F.bitwise_not("node") == F.col("same")).select("key", "node", "root", "main", "blocks", short.alias("s"), *wide)
+    rows = materialise(rows)
+    some = rows.where("root <> main").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("main", "blocks")
+    all_ = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    all_ = all_.select("key", "block", F.col("main"), *(F.col(x).alias(f"{x}_") for x in ("node", "root", "s", *wide)))
+    # once where neither is in the largest group
+    new = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("main")) | (F.col("node") < F.col("node_")))
+    start = F.shiftrightunsigned("key", 41).bitwiseAND(F.lit(7).cast("long"))
+    pairs = some.hint("merge").join(all_, ["key", "block"]).where(new).where(_wide_apart() <= wide_distance(similarity))
+    return pairs.where(_within(F.col("s"), F.col("s_"), start, SHORT_DISTANCE)).select(F.col("root").alias("a"), F.col("root_").alias("b")).distinct()
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, words: int = SIMILAR_WORDS) -> DataFrame:
