@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from yomisen.llm import decontaminate, html_text, packing, quality, queries, secrets, toxicity, url_filter
+from yomisen.llm import labels as labels_of
 
 from .conftest import text_of
 
@@ -344,6 +345,62 @@ def test_classifiers_take_any_rows(spark, docs, no_docs, rows, operator):
     assert operator(no_docs, labels).collect() == []
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """The second of two toxic words is only in the toxic training rows whose id has a hash above the 1,500 least."""
+    rng = random.Random(8)
+    ids = spark.range(6000).select("id", F.xxhash64(F.col("id"), F.lit("toxic")).alias("h")).orderBy("h").collect()
+    toxic = [r["id"] for r in ids if r["id"] % 2 and zlib.crc32(str(r["id"]).encode()) % 5]
+    early, late = set(toxic[:1500]), set(toxic[1500:])
+    assert len(late) > 500
+    rows = []
+    for i in range(6000):
+        words = text_of(rng, 8).split()
+        if i % 2:
+            second = i in late or (i not in early and i % 4 == 1)
+            words[rng.randint(0, 7)] = "zukravel" if second else "mobbelin"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6000)], "doc_id long, quality int, toxic int")
+    held = toxicity.toxicity(docs, labels).where("held_out").collect()
+    texts = dict(rows)
+    second = [r["predicted"] for r in held if "zukravel" in texts[r["doc_id"]]]
+    assert len(second) > 100 and sum(second) >= 0.98 * len(second)
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.98 * len(held)
+
+
+def test_toxicity_does_not_depend_on_layout(training, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 100)  # several blocks
+    docs, labels, truth = training
+    a = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    mixed, others = docs.orderBy(F.desc("text")).repartition(7), labels.orderBy(F.rand(3)).repartition(5)
+    b = {r["doc_id"]: r["score"] for r in toxicity.toxicity(mixed, others).collect()}
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+    held = [i for i in a if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((a[i] >= 0.5) == truth[i][1] for i in held) >= 0.93 * len(held)
+
+
+@pytest.mark.parametrize("bits", [3, 27])  # the smallest bitmap lets every text through
+def test_labelled_blocks_hold_every_labelled_text_once(spark, docs, rows, monkeypatch, bits):
+    monkeypatch.setattr(labels_of, "MOST_BITS", bits)
+    marks = [(i, i % 2) for i in range(0, 400, 3)] + [(3, 0), (300, 0), (300, 0), (5000, 1), (None, 1), (4, None), (7, 2)]
+    labels = spark.createDataFrame(marks, "doc_id int, toxic int")
+    train = F.pmod(labels_of.crc32_of_id(F.col("doc_id")), F.lit(5)) != 0
+    known = labels_of.labelled(labels, "toxic", train)
+    dealt = labels_of.labelled_blocks(docs, known, known.count(), train, 3)
+    assert dealt.rdd.getNumPartitions() == 3
+    if bits == 27:
+        assert dealt.where("text IS NOT NULL").count() < len(rows) / 2
+    kept = dealt.mapInArrow(labels_of.first_texts, dealt.schema)
+    got = [(p, r["block"], r["doc_id"], r["y"], r["text"]) for p, r in kept.withColumn("p", F.spark_partition_id()).rdd.map(lambda r: (r["p"], r)).collect()]
+    wanted = {}
+    for i, t in rows:
+        y = max((y for k, y in marks if k == i and y in (0, 1)), default=None)
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            wanted[i] = (y, min(t or "", wanted.get(i, (y, t or ""))[1], key=lambda x: x.encode()))
+    assert {i: (y, t) for _, _, i, y, t in got} == wanted and len(got) == len(wanted)
+    assert all(p == block for p, block, *_ in got)
+
+
 def test_keep_good_keeps_columns_and_clean_documents(training):
     docs, labels, truth = training
     named = docs.withColumn("score", F.lit("mine"))

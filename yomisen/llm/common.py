@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.store import ensure_checkpoint_dir
 from ..plans.store import stored as materialise
 
-__all__ = ["ensure_checkpoint_dir", "materialise", "stored", "forget", "ascii_lower", "texts_of", "chunks", "joined_buffer", "with_text", "range_of", "unused"]
+__all__ = ["ensure_checkpoint_dir", "materialise", "stored", "forget", "forget_checkpoint", "ascii_lower", "texts_of", "chunks", "joined_buffer", "with_text", "range_of", "unused"]
 
 #: Bytes of text that a Python worker looks at together.
 CHUNK_BYTES = 4 << 20
@@ -33,6 +33,13 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget_checkpoint(df: DataFrame) -> None:
+    """Deletes the files of a :func:`materialise` result that nothing reads any more."""
+    path = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if path.isDefined():
+        forget(df.sparkSession, path.get())
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only.  ``lower`` is much faster and agrees on pure ASCII."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
